@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidende.io import table
-from tidende.llm import distinctive, ngrams, tokenizer
+from tidende.llm import distinctive, neardup, ngrams, tokenizer
 
 #: Cleaned terms of the latest runs, as the operators make them.
 _LATEST = r"""
@@ -33,6 +33,15 @@ def p1_weights(spark: SparkSession, sf: str) -> DataFrame:
     return distinctive.parsimonious_weights(table(spark, sf, "doc2terms"))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.alike_documents(table(spark, sf, "example_documents"))
+
+
+def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Near-duplicates by runs of five words, from 0.8 on: one row a document."""
+    return neardup.near_duplicates(table(spark, sf, "example_documents"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return ngrams.marked_terms(table(spark, sf, "doc2terms")).where(F.col("mark").isNotNull()).select("term", "mark")
 
@@ -50,12 +59,20 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenizer.encode_texts(table(spark, sf, "documents"), keep=["doc_id"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_weights, p7_found, p7_terms, p7_ngrams, p8_ids)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_weights, p4_found, p4_groups, p7_found, p7_terms, p7_ngrams, p8_ids)}
 
 SQL = {
     "p1_found": f"""WITH {_LATEST},
 w AS (SELECT doc_id, term, tf * (ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1.0) AS w FROM tf JOIN df USING (term), n)
 SELECT doc_id, term FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, encode(term)) AS k FROM w) WHERE k = 1""",
+    "p4_found": r"""WITH w AS (
+  SELECT DISTINCT doc_id, text, list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\x0B\f]+'), lambda x: x <> '') AS w
+  FROM example_documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+d AS (SELECT row_number() OVER () AS k, doc_id, list_distinct([w[i] || chr(31) || w[i + 1] || chr(31) || w[i + 2] for i in range(1, len(w) - 1)]) AS runs FROM w WHERE len(w) >= 3),
+r AS (SELECT k, doc_id, len(runs) AS n, unnest(runs) AS run FROM d),
+p AS (SELECT a.k, b.k AS l, any_value(a.doc_id) AS x, any_value(b.doc_id) AS y, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb
+      FROM r a JOIN r b ON a.run = b.run AND a.k <> b.k GROUP BY a.k, b.k)
+SELECT DISTINCT x AS doc_id_a, y AS doc_id_b FROM p WHERE encode(x) < encode(y) AND c >= 0.5 * (na + nb - c)""",
     "p7_found": f"""WITH {_LATEST}
 SELECT term, CASE WHEN df < 3 THEN 'rare' ELSE 'common' END AS mark FROM df, n WHERE df < 3 OR df > 0.25 * n""",
     "p7_terms": f"""WITH {_LATEST}
