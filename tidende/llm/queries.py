@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidende.io import table
-from tidende.llm import distinctive, neardup, ngrams, tokenizer
+from tidende.llm import distinctive, encoding, neardup, ngrams, tokenizer
 
 #: Cleaned terms of the latest runs, as the operators make them.
 _LATEST = r"""
@@ -33,6 +33,14 @@ def p1_weights(spark: SparkSession, sf: str) -> DataFrame:
     return distinctive.parsimonious_weights(table(spark, sf, "doc2terms"))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return encoding.garbled_records(table(spark, sf, "example_documents")).select("doc_id").distinct()
+
+
+def p2_restored(spark: SparkSession, sf: str) -> DataFrame:
+    return encoding.garbled_records(table(spark, sf, "example_documents"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.alike_documents(table(spark, sf, "example_documents"))
 
@@ -59,7 +67,7 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenizer.encode_texts(table(spark, sf, "documents"), keep=["doc_id"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_weights, p4_found, p4_groups, p7_found, p7_terms, p7_ngrams, p8_ids)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_weights, p2_found, p2_restored, p4_found, p4_groups, p7_found, p7_terms, p7_ngrams, p8_ids)}
 
 SQL = {
     "p1_found": f"""WITH {_LATEST},
