@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidende.io import table
-from tidende.llm import distinctive, encoding, neardup, ngrams, tokenizer
+from tidende.llm import distinctive, encoding, names, neardup, ngrams, tokenizer
 
 #: Cleaned terms of the latest runs, as the operators make them.
 _LATEST = r"""
@@ -50,6 +50,15 @@ def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf, "example_documents"))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return names.variant_pairs(table(spark, sf, "priors"))
+
+
+def p6_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Each spelling with the name it stands for."""
+    return names.linked_names(table(spark, sf, "priors"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return ngrams.marked_terms(table(spark, sf, "doc2terms")).where(F.col("mark").isNotNull()).select("term", "mark")
 
@@ -67,7 +76,7 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenizer.encode_texts(table(spark, sf, "documents"), keep=["doc_id"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_weights, p2_found, p2_restored, p4_found, p4_groups, p7_found, p7_terms, p7_ngrams, p8_ids)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_weights, p2_found, p2_restored, p4_found, p4_groups, p6_found, p6_names, p7_found, p7_terms, p7_ngrams, p8_ids)}
 
 SQL = {
     "p1_found": f"""WITH {_LATEST},
