@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidende.io import table
-from tidende.llm import distinctive, encoding, names, neardup, ngrams, tokenizer
+from tidende.llm import distinctive, encoding, language, names, neardup, ngrams, tokenizer
 
 #: Cleaned terms of the latest runs, as the operators make them.
 _LATEST = r"""
@@ -76,7 +76,16 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenizer.encode_texts(table(spark, sf, "documents"), keep=["doc_id"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_weights, p2_found, p2_restored, p4_found, p4_groups, p6_found, p6_names, p7_found, p7_terms, p7_ngrams, p8_ids)}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return language.label_cases(table(spark, sf, "documents"), table(spark, sf, "language_names")).select("doc_id", "lang")
+
+
+def p10_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's segments with language and confidence."""
+    return language.detect(table(spark, sf, "documents"), table(spark, sf, "language_names"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_weights, p2_found, p2_restored, p4_found, p4_groups, p6_found, p6_names, p7_found, p7_terms, p7_ngrams, p8_ids, p10_found, p10_segments)}
 
 SQL = {
     "p1_found": f"""WITH {_LATEST},
