@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidende.io import table
-from tidende.llm import distinctive, encoding, language, names, neardup, ngrams, tokenizer
+from tidende.llm import distinctive, encoding, language, names, neardup, ngrams, sentences, tokenizer
 
 #: Cleaned terms of the latest runs, as the operators make them.
 _LATEST = r"""
@@ -50,6 +50,15 @@ def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf, "example_documents"))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = sentences.sentences(table(spark, sf, "example_documents"), table(spark, sf, "abbreviations"))
+    return found.select("doc_id", "start_char", "end_char").distinct()
+
+
+def p5_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.sentences(table(spark, sf, "example_documents"), table(spark, sf, "abbreviations"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return names.variant_pairs(table(spark, sf, "priors"))
 
@@ -85,7 +94,7 @@ def p10_segments(spark: SparkSession, sf: str) -> DataFrame:
     return language.detect(table(spark, sf, "documents"), table(spark, sf, "language_names"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_weights, p2_found, p2_restored, p4_found, p4_groups, p6_found, p6_names, p7_found, p7_terms, p7_ngrams, p8_ids, p10_found, p10_segments)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_weights, p2_found, p2_restored, p4_found, p4_groups, p5_found, p5_sentences, p6_found, p6_names, p7_found, p7_terms, p7_ngrams, p8_ids, p10_found, p10_segments)}
 
 SQL = {
     "p1_found": f"""WITH {_LATEST},
