@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidende.io import table
-from tidende.llm import distinctive, encoding, language, names, neardup, ngrams, sentences, tokenizer
+from tidende.llm import distinctive, encoding, language, mixing, names, neardup, ngrams, sentences, tokenizer
 
 #: Cleaned terms of the latest runs, as the operators make them.
 _LATEST = r"""
@@ -85,6 +85,15 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenizer.encode_texts(table(spark, sf, "documents"), keep=["doc_id"])
 
 
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return mixing.shares(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return language.label_cases(table(spark, sf, "documents"), table(spark, sf, "language_names")).select("doc_id", "lang")
 
@@ -94,7 +103,7 @@ def p10_segments(spark: SparkSession, sf: str) -> DataFrame:
     return language.detect(table(spark, sf, "documents"), table(spark, sf, "language_names"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_weights, p2_found, p2_restored, p4_found, p4_groups, p5_found, p5_sentences, p6_found, p6_names, p7_found, p7_terms, p7_ngrams, p8_ids, p10_found, p10_segments)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_weights, p2_found, p2_restored, p4_found, p4_groups, p5_found, p5_sentences, p6_found, p6_names, p7_found, p7_terms, p7_ngrams, p8_ids, p9_mix, p9_shares, p10_found, p10_segments)}
 
 SQL = {
     "p1_found": f"""WITH {_LATEST},
