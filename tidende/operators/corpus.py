@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -64,10 +66,19 @@ def similar_pairs(weights: DataFrame, sliced: DataFrame, threshold: float = 0.15
     heads = ranked.withColumn("tail", F.sqrt(F.sum(F.col("tfidf") * F.col("tfidf")).over(order))).where((F.col("tail") > threshold) & (F.col("df") > 1))
     h = heads.select("slice", "term", F.col("doc_id").alias("a"))
     candidates = h.join(h.withColumnRenamed("a", "b"), ["slice", "term"]).where(F.col("a") < F.col("b")).select("slice", "a", "b").distinct()
-    vectors = w.groupBy("slice", "doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "tfidf"))).alias("v"))
-    both = candidates.join(vectors.toDF("slice", "a", "va"), ["slice", "a"]).join(vectors.toDF("slice", "b", "vb"), ["slice", "b"])
-    dot = F.aggregate(F.map_keys("va"), F.lit(0.0), lambda s, t: s + F.col("va")[t] * F.coalesce(F.try_element_at("vb", t), F.lit(0.0)))
-    return both.select("slice", "a", "b", dot.alias("cosine")).where(F.col("cosine") > threshold)
+    packed = F.array_sort(F.collect_list(F.struct(F.xxhash64("term").alias("t"), F.col("tfidf").alias("x"))))
+    vectors = w.groupBy("slice", "doc_id").agg(packed.alias("v")).select("slice", "doc_id", F.transform("v", lambda s: s["t"]).alias("t"), F.transform("v", lambda s: s["x"]).alias("x"))
+    both = candidates.join(vectors.toDF("slice", "a", "ta", "xa"), ["slice", "a"]).join(vectors.toDF("slice", "b", "tb", "xb"), ["slice", "b"])
+
+    @F.pandas_udf("double")
+    def dot(ta: pd.Series, xa: pd.Series, tb: pd.Series, xb: pd.Series) -> pd.Series:
+        out = []
+        for a, x, b, y in zip(ta, xa, tb, xb, strict=True):
+            _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+            out.append(float(x[i] @ y[j]))
+        return pd.Series(out, dtype=float)
+
+    return both.select("slice", "a", "b", dot("ta", "xa", "tb", "xb").alias("cosine")).where(F.col("cosine") > threshold)
 
 
 def included(pairs: DataFrame, sliced: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -51,4 +51,4 @@ def case_statistics(articles: DataFrame, disambiguations: DataFrame) -> DataFram
 def restored_order(found: DataFrame, mentions: DataFrame) -> DataFrame:
     """``doc_id, pos, mention, entity``: results in the order of the document, the first match of each mention."""
     first = found.groupBy("doc_id", F.lower("mention").alias("key")).agg(F.min("entity").alias("entity"))
-    return mentions.withColumn("key", F.lower("mention")).join(first, ["doc_id", "key"], "left").select("doc_id", "pos", "mention", "entity")
+    return mentions.select("doc_id", "pos", "mention", F.lower("mention").alias("key")).join(first, ["doc_id", "key"], "left").select("doc_id", "pos", "mention", "entity")

@@ -12,11 +12,11 @@ def article_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def monthly_counts(articles: DataFrame, time: str = "loaded_at", late: str = "40 days") -> DataFrame:
     """``slice_start, n``: distinct deliveries by calendar month, late ones up to the watermark."""
-    kept = articles.withWatermark(time, late).dropDuplicatesWithinWatermark(["doc_id"])
+    kept = articles.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark(["doc_id"])
     return kept.groupBy(F.window(time, "1 day").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), F.trunc(F.col("w.start"), "month").alias("slice_start"), "n")
 
 
 def rolling_values(events: DataFrame, size: str = "1 hour", slide: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """``start, event_type, n, total`` of sliding windows over events."""
-    w = events.withWatermark("ts", late).groupBy(F.window("ts", size, slide).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    return w.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    w = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", size, slide).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return w.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
