@@ -69,7 +69,7 @@ def letters_only_dedup(spark, sf):
 
 
 @P.query(
-    r"""SELECT DISTINCT mention, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(mention, '\xe6', 'æ'), '\xc6', 'Æ'), '\xf8', 'ø'), '\xd8', 'Ø'), '\xe5', 'å'), '\xc5', 'Å'), '\xf4', 'ô'), '\xfc', 'ü'), '\xdc', 'Ü'), '\xf6', 'ö'), '\xd6', 'Ö'), '’', '''') AS plain
+    r"""SELECT DISTINCT mention, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(mention, '\xe6', 'æ'), '\xc6', 'Æ'), '\xf8', 'ø'), '\xd8', 'Ø'), '\xe5', 'å'), '\xc5', 'Å'), '\xf4', 'ô'), '\xfc', 'ü'), '\xdc', 'Ü'), '\xf6', 'ö'), '\xd6', 'Ö'), '\u2019', '''') AS plain
 FROM priors WHERE contains(mention, '\x')"""
 )
 def danish_unescape(spark, sf):
