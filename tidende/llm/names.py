@@ -120,7 +120,9 @@ def near_words(words: DataFrame) -> DataFrame:
         if len(held) > 1:
             yield solve()
 
-    return sharded.repartition("shard").sortWithinPartitions("shard").mapInPandas(join, "a string, b string").distinct()
+    # As many tasks as the session shuffles into: the shards are few bytes, but work.
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sharded.repartition(tasks, "shard").sortWithinPartitions("shard").mapInPandas(join, "a string, b string").distinct()
 
 
 def distinct_mentions(priors: DataFrame) -> DataFrame:
@@ -170,8 +172,7 @@ def linked_names(priors: DataFrame) -> DataFrame:
     """
     m = without_titles(distinct_mentions(priors)).where(F.size("toks") >= 2)
     m = materialize(m.select("mention", "uses", "entity", "toks"), "p6-names")
-    total = m.count()
-    # Order of the tokens: each has its share of uses at the end.
+        # Order of the tokens: each has its share of uses at the end.
     ends = m.select("uses", F.explode(F.array(F.struct(F.get("toks", F.lit(0)).alias("word"), F.lit(0).alias("end")), F.struct(F.element_at("toks", -1).alias("word"), F.lit(1).alias("end")))).alias("x"))
     share = ends.groupBy("x.word").agg((F.sum(F.col("uses") * F.col("x.end")) / F.sum("uses")).alias("share"))
     head, tail = share.toDF("w0", "share0"), share.toDF("w1", "share1")
@@ -195,7 +196,7 @@ def linked_names(priors: DataFrame) -> DataFrame:
     ends_of = ordered.select(F.get("toks", F.lit(0)).alias("first"), F.element_at("toks", -1).alias("last")).distinct().where(no_initial)
     opened = ends_of.groupBy("first").agg(F.count("*").alias("opens"))
     closed = ends_of.join(opened, "first").groupBy("last").agg(F.count("*").alias("closes"), F.max("opens").alias("opens"))
-    kinds = closed.where((F.col("closes") >= 4) & (F.col("closes") > F.col("opens"))).select(F.col("last").alias("word"))
+    kinds = materialize(closed.where((F.col("closes") >= 3) & (F.col("closes") > F.col("opens"))).select(F.col("last").alias("word")), "p6-kinds")
     kind_like = kinds.unionByName(near.join(kinds.withColumnRenamed("word", "b"), "b").select(F.col("a").alias("word"))).distinct()
     places = ends_of.join(kinds.withColumnRenamed("word", "last"), "last", "left_semi").select(F.col("first").alias("place")).distinct()
     places = places.unionByName(near.join(places.withColumnRenamed("place", "b"), "b").select(F.col("a").alias("place"))).distinct()
@@ -211,12 +212,12 @@ def linked_names(priors: DataFrame) -> DataFrame:
     keyed = materialize(keyed, "p6-keyed")
 
     # Full first names and kinds: used under several keys, and no short form of another.
-    by_key = keyed.groupBy("first", "key", "org").agg(F.sum("uses").alias("uses"))
-    spread = by_key.groupBy("first", "org").agg(F.count("*").alias("keys"), F.sum("uses").alias("all"))
+    by_key = materialize(keyed.groupBy("first", "key", "org").agg(F.sum("uses").alias("uses")), "p6-by-key")
+    spread = materialize(by_key.groupBy("first", "org").agg(F.count("*").alias("keys"), F.sum("uses").alias("all")), "p6-spread")
     short = by_key.join(spread, ["first", "org"]).select("first", "key", "org", "keys", "all")
     full = short.toDF("full", "key", "org", "full_keys", "full_all")
-    together = short.where(F.length(F.regexp_replace("first", r"\.", "")) > 1).join(full, ["key", "org"]).where((F.col("first") != F.col("full")) & (F.col("full_keys") > F.col("keys")))
-    support = together.groupBy("first", "full", "org", "keys", "full_keys").agg(F.count("*").alias("n"))
+    together = short.where(F.length(F.regexp_replace("first", r"\.", "")) > 1).join(full, ["key", "org"]).where((F.col("first") != F.col("full")) & ((F.col("full_keys") > F.col("keys")) | ((F.col("full_keys") == F.col("keys")) & (F.col("full_all") > F.col("all")))))
+    support = materialize(together.groupBy("first", "full", "org", "keys", "full_keys").agg(F.count("*").alias("n")), "p6-support")
     alias = support.where((F.col("n") >= ALIAS_SUPPORT) & (F.col("n") >= ALIAS_SHARE * F.col("keys")))
     alias = alias.groupBy("first", "org").agg(F.max(F.struct("n", "full_keys", "full")).alias("x")).select("first", "org", F.col("x.full").alias("full"))
     alias = materialize(alias, "p6-alias")
@@ -225,6 +226,7 @@ def linked_names(priors: DataFrame) -> DataFrame:
     bare = F.regexp_replace("first", r"\.", "")
     fulls = by_key.join(alias.select("first", "org"), ["first", "org"], "left_anti").where(F.length(F.regexp_replace("first", r"\.", "")) > 1)
     fulls = fulls.join(spread.select("first", "org", "keys"), ["first", "org"]).select("key", "org", F.col("first").alias("full"), "uses", "keys")
+    fulls = materialize(fulls, "p6-fulls")
     initial = F.length(F.regexp_replace("first", r"\.", "")) == 1
     options = [
         forms.select("*", F.col("first").alias("full"), F.lit(3).alias("cost")),
@@ -239,11 +241,13 @@ def linked_names(priors: DataFrame) -> DataFrame:
     shorter = forms.where((F.length(bare) > 1) & bare.rlike(r"^[\p{L}/]+$")).join(fulls.select("key", "org", "full", "keys"), ["key", "org"]).where(F.length("full") > F.length(bare))
     shorter = shorter.where(F.rlike("full", letters_of)).join(spread.select("first", "org", F.col("keys").alias("short_keys")), ["first", "org"]).join(often, ["first", "full", "org"], "left")
     shorter = shorter.where((F.col("short_keys") < OWN_KEYS) | (F.coalesce("n_both", F.lit(0)) >= OWN_SHARE * F.col("short_keys"))).where(F.col("keys") >= F.col("short_keys"))
+    # A letter too many or too few is a typing error, judged as such.
+    shorter = shorter.join(near.toDF("first", "full"), ["first", "full"], "left_anti")
     options.append(shorter.select("key", "org", "first", "full", F.lit(2).alias("cost")))
     tried = options[0]
     for o in options[1:]:
         tried = tried.unionByName(o)
-    present = tried.join(fulls, ["key", "org", "full"])
+    present = materialize(tried, "p6-tried").join(fulls, ["key", "org", "full"])
     own = F.col("full") == F.col("first")
     # A neighbour must be a name of more keys than the form itself, else the form is its own name.
     mine = spread.select("first", "org", F.col("keys").alias("own_keys"), F.col("all").alias("own_all"))
@@ -254,6 +258,7 @@ def linked_names(priors: DataFrame) -> DataFrame:
     by_letter = by_letter.select("key", "org", "first", "full", F.lit(2).alias("cost"), "uses", "keys")
     # Of what a full form may stand for, those short of none count, the most widely used among equals.
     scored = present.where(better).select("key", "org", "first", "full", "cost", "uses", "keys").unionByName(by_letter)
+    scored = materialize(scored, "p6-scored")
     chosen = scored.groupBy("key", "org", "first").agg(F.min(F.struct("cost", (-F.col("keys")).alias("k"), (-F.col("uses")).alias("u"), "full")).alias("x")).select("key", "org", "first", F.col("x.full").alias("name"))
     named = keyed.join(chosen, ["key", "org", "first"], "left").withColumn("name", F.coalesce("name", "first"))
     named = materialize(named, "p6-named")

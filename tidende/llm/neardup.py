@@ -85,11 +85,13 @@ def trie_pairs(sketches: np.ndarray, sizes: np.ndarray, shard: np.ndarray, ratio
         if not len(a):
             continue
         if level == width:  # equal sketches below one node
-            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            for x, y, d in zip(a.tolist(), b.tolist(), differ.tolist(), strict=True):
                 i, j = np.arange(first[x], first[x + 1]), np.arange(first[y], first[y + 1])
                 i, j = np.triu_indices(len(i), 1) if x == y else (np.repeat(np.arange(len(i)), len(j)), np.tile(np.arange(len(j)), len(i)))
-                pieces_a.append(first[x] + i)
-                pieces_b.append(first[y] + j)
+                i, j = first[x] + i, first[y] + j
+                keep = d <= ratio * (size[i] + size[j]) + 1e-9
+                pieces_a.append(i[keep])
+                pieces_b.append(j[keep])
             continue
         below, start, most = nodes(level + 1)
         lo_a, hi_a, lo_b, hi_b = below[first[a]], below[first[a + 1] - 1] + 1, below[first[b]], below[first[b + 1] - 1] + 1
