@@ -153,6 +153,19 @@ def test_garbling_is_found_and_undone(spark):
     assert sum(got[k] == v for k, v in bad.items()) >= len(bad) - 3
 
 
+def test_any_single_byte_code_page_is_learned(spark):
+    base = [f"Den {k}. dag sælger høringen mælken på øen, og købmanden står på gården i nærheden." for k in range(40)]
+    docs = [(f"c{k}", t) for k, t in enumerate(base)] + [(f"d{k}", t) for k, t in enumerate(base)]
+    docs += [("ru", "Театр закрыть не хочет ёлка."), ("el", "Το μουσείο πρέπει να κλείσει.")]
+    # Of the last one no twin sentence is in the table.
+    bad = {"cp1251": base[1], "cp1253": base[2], "iso8859_7": base[3], "cp1250": base[4], "koi8_r": "En sætning om mælken står på øen."}
+    docs += [(k, t.encode("cp1252").decode(k)) for k, t in bad.items()]
+    got = {r.doc_id: r.restored for r in encoding.garbled_records(spark.createDataFrame(docs, "doc_id string, text string")).collect()}
+    assert got == bad
+    readers, pairs = encoding.infer([("ш", "ø", 1), ("ГҐ", "å", 1)])
+    assert "cp1251" in readers and ("cp1252", "cp1251") in pairs
+
+
 def spans(text, **kw):
     corpus = sentences.Corpus({"dr": 0.0, "kl": 0.0, "nr": 0.0, "m.v": 0.9, "bl.a": 0.0, "ca": 0.0, **kw}, {"kl": 1.0, "nr": 1.0, "ca": 1.0, "m.v": 0.0}, frozenset({"der", "hun"}))
     return [text[a:b] for a, b in sentences.Splitter(corpus).spans(text)]

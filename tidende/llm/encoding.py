@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
+from encodings.aliases import aliases
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,13 +13,14 @@ from pyspark.sql import functions as F
 
 from tidende.io import materialize
 
-#: Encodings considered as the one written or read (fixed values).
-WRITTEN = ("utf-8", "cp1252", "cp850", "cp437", "mac_roman", "iso8859-15")
-READ = ("latin-1", "cp1252", "cp850", "cp437", "mac_roman")
+#: Single-byte encodings that come first where others explain the same signs equally well (fixed values).
+USUAL = ("cp1252", "latin-1", "cp850", "cp437", "mac_roman", "iso8859-15", "cp1251", "cp1253", "cp1250", "cp1254", "koi8-r")
 #: ASCII letters that two sentences must have in common, and in all, to count as twins.
 TWIN_LETTERS = 12
 #: Most aligned runs looked at when the transformations are inferred, those of greatest support first.
 MODEL_RUNS = 20_000
+#: Readers of UTF-8 kept with any support; another one must explain a run that no better supported one does (fixed values).
+CLOSE = ("latin-1", "cp1252", "cp850", "cp437", "mac_roman")
 #: Letters followed through a pair of single-byte encodings (fixed values).
 LETTERS = "æøåÆØÅäöüÄÖÜéß"
 #: Quotation marks put back together with them (fixed values).
@@ -37,6 +40,30 @@ def decode_table(name: str) -> list[str]:
     return out
 
 
+def single_byte() -> dict[str, list[str]]:
+    """The upper tables of all of Python's single-byte encodings that hold ASCII, equal ones once, the usual ones first."""
+    out: dict[str, list[str]] = {}
+    lower = bytes(range(32, 127))
+    for name in (*USUAL, *sorted(set(aliases.values()))):
+        try:
+            if lower.decode(name) != lower.decode("ascii"):
+                continue
+            known = [b for b in range(128, 256) if len(bytes([b]).decode(name, "ignore")) == 1]
+            # A lead byte of a multi-byte encoding takes the next byte with it.
+            if len(known) < 64 or len(bytes(known).decode(name)) != len(known):
+                continue
+        except (LookupError, UnicodeError):
+            continue
+        table = decode_table(name)
+        if table not in out.values():
+            out[name] = table
+    return out
+
+
+#: Encodings considered as the one written (besides UTF-8) or read.
+TABLES = single_byte()
+
+
 @dataclass
 class Model:
     """What was learned: readers of UTF-8 bytes, pairs of single-byte encodings, and the characters native to the corpus."""
@@ -77,9 +104,11 @@ class Restorer:
         to take it for one.
         """
         best = None
+        # A word in another script's letters, as it is written; such letters are bytes too where a reader of that script was learned.
+        natural = len(run) > 2 and run.isalpha() and run[1:].islower() and min(run) >= "\u0370"
         for to_byte, runs in self.tables:
             good = 0
-            if runs.fullmatch(run) is None:
+            if runs.fullmatch(run) is None or natural:
                 continue
             fixed, found = self.step(run, to_byte)
             if not found:
@@ -138,28 +167,49 @@ def align(garbled: str, clean: str) -> list[tuple[str, str]]:
     return [(a, b) for a, b in zip(parts_a[::2], parts_b[::2], strict=True) if a != b and a and b]
 
 
+def single_byte_signs() -> dict[tuple[str, str], list[tuple[str, str]]]:
+    """The pairs ``(written, read)`` that turn a letter into a sign, by ``(sign, letter)``."""
+    out: dict[tuple[str, str], list[tuple[str, str]]] = {}
+    for w, written in TABLES.items():
+        for c in LETTERS:
+            if c in written:
+                for r, read in TABLES.items():
+                    sign = read[written.index(c)]
+                    if sign != c:
+                        out.setdefault((sign, c), []).append((w, r))
+    return out
+
+
 def infer(runs: list[tuple[str, str, int]]) -> tuple[list[str], list[tuple[str, str]]]:
-    """Readers of UTF-8 and single-byte pairs that explain aligned runs ``(a, b, support)``, in either direction."""
+    """Readers of UTF-8 and single-byte pairs that explain aligned runs ``(a, b, support)``, in either direction.
+
+    Of pairs that read every letter and quotation mark alike, the most usual one stands for all.
+    """
+    explained: dict[str, set[tuple[str, str]]] = {}
     readers: dict[str, int] = {}
     pairs: dict[tuple[str, str], int] = {}
-    tables = {r: decode_table(r) for r in READ}
+    signs = single_byte_signs()
     for a, b, support in runs:
         for garbled, clean in ((a, b), (b, a)):
-            for w in WRITTEN:
-                try:
-                    data = clean.encode(w)
-                except UnicodeEncodeError:
-                    continue
-                if min(data) < 128:
-                    continue
-                for r in READ:
-                    if w == r or "".join(tables[r][x - 128] for x in data) != garbled:
-                        continue
-                    if w == "utf-8":
+            data = clean.encode("utf-8", "replace")
+            if len(data) == len(garbled) and min(data) >= 128:
+                for r, table in TABLES.items():
+                    if all(table[x - 128] == c for x, c in zip(data, garbled, strict=True)):
                         readers[r] = readers.get(r, 0) + support
-                    elif len(clean) == 1 and clean in LETTERS:
-                        pairs[w, r] = pairs.get((w, r), 0) + support
-    return sorted(readers, key=lambda r: (-readers[r], r)), sorted(pairs, key=lambda p: (-pairs[p], p))
+                        explained.setdefault(r, set()).add((garbled, clean))
+            for pair in signs.get((garbled, clean), ()):
+                pairs[pair] = pairs.get(pair, 0) + support
+    order = {name: k for k, name in enumerate(TABLES)}
+    ranked = sorted(pairs, key=lambda p: (-pairs[p], order[p[0]] + order[p[1]], p))
+    alike: dict[frozenset, tuple[str, str]] = {}
+    for pair in ranked:
+        alike.setdefault(frozenset(reverse_signs(*pair).items()), pair)
+    kept, seen = [], set()
+    for r in sorted(readers, key=lambda r: (-readers[r], r not in CLOSE, order[r])):
+        if r in CLOSE or not explained[r] <= seen:
+            kept.append(r)
+            seen |= explained[r]
+    return kept, list(alike.values())
 
 
 def learn(docs: DataFrame) -> Model:
@@ -205,49 +255,71 @@ def reverse_signs(written: str, read: str) -> dict[str, str]:
 
 
 def restore_segments(text: str, swaps: list[dict] | None, reverse: list[dict[str, str]]) -> str:
-    """Each piece of the text that holds a confirmed word, read by that word's pair of encodings."""
+    """Each piece of the text that holds a confirmed word, read by the pair of encodings that most of its words have; of equal ones, that of the text."""
     if swaps is None:
         return text
-    out = []
+    out, everywhere = [], Counter(k for s in swaps for k in s["pairs"])
     for piece in re.split(r"(?<=[.!?\n])(?=\s)", text):
-        hits = [s["pair"] for s in swaps if s["word"] in piece]
-        out.append(piece.translate(str.maketrans(reverse[max(set(hits), key=lambda k: (hits.count(k), -k))])) if hits else piece)
+        hits = Counter(k for s in swaps if s["word"] in piece for k in s["pairs"])
+        out.append(piece.translate(str.maketrans(reverse[max(hits, key=lambda k: (hits[k], everywhere[k], -k))])) if hits else piece)
     return "".join(out)
 
 
+def other_script(c: str) -> bool:
+    return c >= "\u0370" and c.isalpha()
+
+
+def mixed_pairs(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Pairs not learned that turn letters into those of another script: a word that mixes them with ASCII ones shows them by itself."""
+    out: dict[frozenset, tuple[str, str]] = {}
+    for w in CLOSE:
+        for r in TABLES:
+            images = reverse_signs(w, r).items()
+            if (w, r) not in pairs and sum(other_script(sign) for sign, c in images if c in LETTERS) >= 3:
+                out.setdefault(frozenset(images), (w, r))
+    return list(out.values())
+
+
 def single_byte_cases(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, word, fixed, pair``: words that a pair of single-byte encodings turns into a word known from the corpus.
+    """``doc_id, word, pairs``: words that pairs of single-byte encodings turn into a word known from the corpus.
 
     The word so restored must be in more records than the garbled one, at least twice as many, so that foreign names and
-    units that belong in the text stay. Only words with a sign that is the image of a letter are joined.
+    units that belong in the text stay. Only words with a sign that is the image of a letter are joined, each word once.
     """
-    empty = docs.sparkSession.createDataFrame([], "doc_id string, word string, fixed string, pair int")
     tables = []
-    for k, (w, r) in enumerate(model.pairs):
-        table, images = decode_table(r), {}
-        for c in LETTERS:
-            try:
-                image = table[c.encode(w)[0] - 128]
-            except UnicodeEncodeError:
-                continue
-            if image not in "æøåÆØÅ" and image != c:
-                images[image] = c
+    for k, pair in enumerate([*model.pairs, *mixed_pairs(model.pairs)]):
+        images = {ord(sign): c for sign, c in reverse_signs(*pair).items() if c in LETTERS and sign not in "æøåÆØÅ" and sign != c}
+        if k >= len(model.pairs):
+            images = {sign: c for sign, c in images.items() if other_script(chr(sign))}
         if images:
-            tables.append((k, "".join(images), "".join(images.values())))
+            tables.append((k, images))
     if not tables:
-        return empty
-    found = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
-    counts = found.where(F.col("word").rlike(r"[^\x00-\x7F]")).groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n"))
+        return docs.sparkSession.createDataFrame([], "doc_id string, word string, pairs array<int>")
+    found = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).where(F.col("word").rlike(r"[^\x00-\x7F]"))
+    found = materialize(found, "p2-found")
+    counts = found.groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n"))
     counts = materialize(counts, "p2-words")
-    signs = "".join(dict.fromkeys(x for _, images, _ in tables for x in images))
+    signs = "".join(dict.fromkeys(chr(x) for _, images in tables for x in images))
     # Two of the signs can be quotation marks; a word needs one beside a letter.
-    suspects = found.where(F.col("word").rlike("[" + re.escape(signs) + "]") & F.col("word").rlike("[A-Za-z]"))
-    tried = [F.struct(F.translate("word", images, letters).alias("fixed"), F.lit(k).alias("pair")) for k, images, letters in tables]
-    options = suspects.select("doc_id", "word", F.explode(F.array(*tried)).alias("t")).select("doc_id", "word", "t.fixed", "t.pair").where(F.col("fixed") != F.col("word"))
+    suspects = found.where((F.translate("word", signs, "") != F.col("word")) & F.col("word").rlike("[A-Za-z]"))
+
+    @F.pandas_udf("array<struct<fixed:string,pairs:array<int>>>")
+    def options(found: pd.Series) -> pd.Series:
+        out = []
+        for word in found:
+            by: dict[str, list[int]] = {}
+            for k, images in tables:
+                by.setdefault(word.translate(images), []).append(k)
+            by.pop(word, None)
+            out.append([{"fixed": f, "pairs": p} for f, p in by.items()])
+        return pd.Series(out, dtype=object)
+
+    tried = suspects.select("word").distinct().select("word", F.explode(options("word")).alias("t")).select("word", "t.*")
     known = counts.select(F.col("word").alias("fixed_key"), F.col("n").alias("n_fixed"))
     own = counts.select(F.col("word").alias("word_key"), F.col("n").alias("n_own"))
-    both = options.join(known, F.lower("fixed") == F.col("fixed_key")).join(own, F.lower("word") == F.col("word_key"))
-    return both.where(F.col("n_fixed") >= F.greatest(F.lit(2), 2 * F.col("n_own"))).select("doc_id", "word", "fixed", "pair")
+    both = tried.join(known, F.lower("fixed") == F.col("fixed_key")).join(own, F.lower("word") == F.col("word_key"))
+    sure = both.where(F.col("n_fixed") >= F.greatest(F.lit(2), 2 * F.col("n_own")))
+    return suspects.join(sure.groupBy("word").agg(F.flatten(F.collect_list("pairs")).alias("pairs")), "word").select("doc_id", "word", "pairs")
 
 
 def garbled_records(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -266,14 +338,14 @@ def garbled_records(docs: DataFrame, model: Model | None = None) -> DataFrame:
         restorer = Restorer(shared.value)
         return pd.DataFrame([restorer.restore(t) for t in texts], columns=["restored", "signs"])
 
-    reverse = [reverse_signs(w, r) for w, r in model.pairs]
+    reverse = [reverse_signs(w, r) for w, r in [*model.pairs, *mixed_pairs(model.pairs)]]
 
     @F.pandas_udf("string")
     def put_back(texts: pd.Series, swaps: pd.Series) -> pd.Series:
         return pd.Series([restore_segments(t, s, reverse) for t, s in zip(texts, swaps, strict=True)], dtype=object)
 
     tried = docs.where(F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", "text", multi("text").alias("m")).select("doc_id", "text", "m.*")
-    cases = single_byte_cases(docs, model).groupBy("doc_id").agg(F.collect_set(F.struct("word", "pair")).alias("swaps"))
+    cases = single_byte_cases(docs, model).groupBy("doc_id").agg(F.collect_set(F.struct("word", "pairs")).alias("swaps"))
     joined = tried.join(cases, "doc_id", "left")
     lost = F.col("text").contains("\ufffd")
     found = joined.where((F.col("signs") > 0) | F.col("swaps").isNotNull() | lost)
