@@ -166,6 +166,26 @@ def test_any_single_byte_code_page_is_learned(spark):
     assert "cp1251" in readers and ("cp1252", "cp1251") in pairs
 
 
+def test_copies_of_a_garbled_text_do_not_hide_it(spark):
+    text = "Købmanden på gården sælger mælken ved søen, og tårnet åbner først når børnene står på øen."
+    clean = [(f"c{k}", f"Den {k}. bil kører langs vejen mod byen, så man kan nå den.") for k in range(20)] + [("one", text)]
+    seen = [(f"s{k}", "Mælken er god.") for k in range(3)]
+    garbled = text.encode("cp1252").decode("cp850")
+    copies = {f"g{k}": text for k in range(15)}
+    docs = clean + seen + [(k, garbled) for k in copies]
+    got = {r.doc_id: r.restored for r in encoding.garbled_records(spark.createDataFrame(docs, "doc_id string, text string")).collect()}
+    assert got == copies
+    # No twin sentence, but more sentences with the clean word than the one that is copied.
+    model = encoding.Model([], [("cp1252", "cp850")])
+    docs = [(f"g{k}", "Hun bor ved søen.".encode("cp1252").decode("cp850")) for k in range(15)] + [("a", "Nu er søen kold."), ("b", "I dag er søen varm."), ("c", "Hvor er søen?")]
+    got = encoding.garbled_records(spark.createDataFrame(docs, "doc_id string, text string"), model).collect()
+    assert {r.restored for r in got} == {"Hun bor ved søen."} and len(got) == 15
+    # Of two twins, the one whose marks are at the ends of words is the clean one.
+    docs = [("clean", "Sie fragte ihn dann: „Warum gerade jetzt?“"), ("bad", "Sie fragte ihn dann: äWarum gerade jetzt?“")]
+    model = encoding.Model([], [("cp850", "cp1252")])
+    assert not encoding.garbled_records(spark.createDataFrame(docs, "doc_id string, text string"), model).count()
+
+
 def spans(text, **kw):
     corpus = sentences.Corpus({"dr": 0.0, "kl": 0.0, "nr": 0.0, "m.v": 0.9, "bl.a": 0.0, "ca": 0.0, **kw}, {"kl": 1.0, "nr": 1.0, "ca": 1.0, "m.v": 0.0}, frozenset({"der", "hun"}))
     return [text[a:b] for a, b in sentences.Splitter(corpus).spans(text)]

@@ -25,6 +25,8 @@ CLOSE = ("latin-1", "cp1252", "cp850", "cp437", "mac_roman")
 LETTERS = "æøåÆØÅäöüÄÖÜéß"
 #: Quotation marks put back together with them (fixed values).
 QUOTES = "«»“”„"
+#: Marks that belong at the ends of a word; there they show nothing, though some are images of letters too.
+EDGES = QUOTES + "‘’‚‹›"
 #: What a multi-byte character looks like in bytes.
 _MULTI = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 
@@ -283,8 +285,10 @@ def mixed_pairs(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
 def single_byte_cases(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, word, pairs``: words that pairs of single-byte encodings turn into a word known from the corpus.
 
-    The word so restored must be in more records than the garbled one, at least twice as many, so that foreign names and
-    units that belong in the text stay. Only words with a sign that is the image of a letter are joined, each word once.
+    The word so restored must be in more distinct sentences than the garbled one, or else in more records, at least twice as
+    many, so that foreign names and units that belong in the text stay, and copies of a garbled text don't outnumber the clean
+    ones. Whatever these numbers, a word is taken if its sentences so restored are in the corpus, or if it mixes scripts and is
+    known restored. Only words with a sign that is the image of a letter are joined, each word once.
     """
     tables = []
     for k, pair in enumerate([*model.pairs, *mixed_pairs(model.pairs)]):
@@ -297,7 +301,10 @@ def single_byte_cases(docs: DataFrame, model: Model) -> DataFrame:
         return docs.sparkSession.createDataFrame([], "doc_id string, word string, pairs array<int>")
     found = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).where(F.col("word").rlike(r"[^\x00-\x7F]"))
     found = materialize(found, "p2-found")
-    counts = found.groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n"))
+    pieces = materialize(segments(docs).select("segment").distinct(), "p2-segments")
+    spoken = pieces.select(F.explode(F.array_distinct(words(F.col("segment")))).alias("word")).where(F.col("word").rlike(r"[^\x00-\x7F]"))
+    lowered = [x.select(F.lower("word").alias("word"), F.lit(k).alias("k")) for k, x in enumerate((found, spoken))]
+    counts = lowered[0].unionAll(lowered[1]).groupBy("word").agg(F.count_if(F.col("k") == 0).alias("n"), F.count_if(F.col("k") == 1).alias("m"))
     counts = materialize(counts, "p2-words")
     signs = "".join(dict.fromkeys(chr(x) for _, images in tables for x in images))
     # Two of the signs can be quotation marks; a word needs one beside a letter.
@@ -315,11 +322,49 @@ def single_byte_cases(docs: DataFrame, model: Model) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     tried = suspects.select("word").distinct().select("word", F.explode(options("word")).alias("t")).select("word", "t.*")
-    known = counts.select(F.col("word").alias("fixed_key"), F.col("n").alias("n_fixed"))
-    own = counts.select(F.col("word").alias("word_key"), F.col("n").alias("n_own"))
+    known = counts.select(F.col("word").alias("fixed_key"), F.col("n").alias("n_fixed"), F.col("m").alias("m_fixed"))
+    own = counts.select(F.col("word").alias("word_key"), F.col("n").alias("n_own"), F.col("m").alias("m_own"))
     both = tried.join(known, F.lower("fixed") == F.col("fixed_key")).join(own, F.lower("word") == F.col("word_key"))
-    sure = both.where(F.col("n_fixed") >= F.greatest(F.lit(2), 2 * F.col("n_own")))
-    return suspects.join(sure.groupBy("word").agg(F.flatten(F.collect_list("pairs")).alias("pairs")), "word").select("doc_id", "word", "pairs")
+    often = [F.col(f"{x}_fixed") >= F.greatest(F.lit(2), 2 * F.col(f"{x}_own")) for x in "nm"]
+    mixed = ~F.translate("word", "".join(c for c in signs if other_script(c)), "").rlike(r"[^\x00-\x7F]")
+    sure = both.where(often[0] | often[1] | mixed).select("word", "pairs").unionByName(proved_words(pieces, own, tables, signs))
+    return suspects.join(sure.groupBy("word").agg(F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs")), "word").select("doc_id", "word", "pairs")
+
+
+def proved_words(pieces: DataFrame, own: DataFrame, tables: list[tuple[int, dict[int, str]]], signs: str) -> DataFrame:
+    """``word, pairs``: words that a pair restores in half of their distinct sentences at least to another sentence of the corpus.
+
+    A twin alone doesn't say which of the two is garbled: many sentences have the clean form, and its garbled twin is one.
+    """
+    s = pieces.withColumn("s", skeleton(F.col("segment"))).where(F.length(F.regexp_replace("s", "[^A-Za-z]", "")) >= TWIN_LETTERS)
+    several = s.groupBy("s").agg(F.count("*").alias("k")).where(F.col("k") > 1).select("s")
+    s = s.where(F.translate("segment", signs, "") != F.col("segment")).join(several, "s").select("segment")
+
+    @F.pandas_udf("array<struct<restored:string,pairs:array<int>>>")
+    def options(found: pd.Series) -> pd.Series:
+        out = []
+        for segment in found:
+            by: dict[str, list[int]] = {}
+            held = {ord(c) for c in segment if c > "\x7f"}
+            for k, images in tables:
+                if not held.isdisjoint(images):
+                    by.setdefault(segment.translate(images), []).append(k)
+            out.append([{"restored": f, "pairs": p} for f, p in by.items()])
+        return pd.Series(out, dtype=object)
+
+    tried = s.select("segment", F.explode(options("segment")).alias("t")).select("segment", "t.*")
+    sure = tried.join(pieces.select(F.col("segment").alias("restored")), "restored", "left_semi")
+    found = sure.select("segment", F.explode(words(F.col("segment"))).alias("word"), "pairs").where((F.translate("word", signs, "") != F.col("word")) & F.col("word").rlike("[A-Za-z]"))
+    each = found.select("segment", "word", F.explode("pairs").alias("pair")).distinct().groupBy("word", "pair").agg(F.count("*").alias("proved"))
+    each = each.join(own, F.lower("word") == F.col("word_key")).where(2 * F.col("proved") >= F.col("m_own"))
+    images_of = dict(tables)
+
+    @F.pandas_udf("boolean")
+    def read(found: pd.Series, pairs: pd.Series) -> pd.Series:
+        """Whether the pair reads a sign of this very word, marks at its ends apart."""
+        return pd.Series([not images_of[k].keys().isdisjoint(map(ord, w.strip(EDGES))) for w, k in zip(found, pairs, strict=True)], dtype=bool)
+
+    return each.where(read("word", "pair")).groupBy("word").agg(F.collect_list("pair").alias("pairs"))
 
 
 def garbled_records(docs: DataFrame, model: Model | None = None) -> DataFrame:
