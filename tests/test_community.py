@@ -57,3 +57,21 @@ def test_split_packing_puts_settings_back(spark):
     with compaction.split_packing(spark, 1234567, 1000):
         assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "1234567"
     assert spark.conf.get("spark.sql.files.maxPartitionBytes", None) == before
+
+
+def test_the_queries_follow_the_number_of_documents(spark, sf):
+    import os
+
+    import pytest
+    from pyspark.sql import functions as F
+
+    from tidende.plans import maps
+
+    if not os.path.isdir(sf):
+        pytest.skip("test data absent")
+    terms = maps._entity_terms(spark, sf)
+    sizes = terms.groupBy("slice").agg(F.countDistinct("doc_id").alias("n_docs"))
+    want = community.communities(community.cooccurrence(terms, share=0.0), sizes)
+    key = lambda df: sorted((r.slice, r.term, round(r.weight, 9)) for r in df.collect())
+    got = maps.QUERIES["community_nmf"](spark, sf)
+    assert key(got) == key(want) and got.count() > 0
