@@ -226,6 +226,12 @@ def test_flow_reaches_targets_and_spreads_the_rest():
     assert both[("a", "b"), "a"] == 100 and both[("b",), "b"] == 100
 
 
+def test_flow_takes_what_the_repeats_allow():
+    # Nine tenths of the target have no documents; the repeats of the rest reach the total.
+    got = mixing.route({("a",): 1000}, {"a": (0.1, 10), "gone": (0.9, 1)}, 10_000)
+    assert got == {(("a",), "a"): 10_000}
+
+
 def test_mix_is_seeded_and_capped(spark):
     docs = [(i, ["a"] if i % 10 else ["b"], 7) for i in range(1000)] + [(5000, [], 9)]
     sized = spark.createDataFrame(docs, "doc_id long, sources array<string>, tokens long")

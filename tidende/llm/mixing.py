@@ -82,6 +82,8 @@ def route(capacity: dict[tuple[str, ...], int], targets: dict[str, tuple[float,
         flow.add(node["s", s], 1, quota, 0)
         for step in range(1, OVERFLOW_STEPS + 1):
             flow.add(node["s", s], 1, max(1, quota // 100), OVERFLOW_COST * step)
+        if quota:  # beyond the steps only the repeats bound it
+            flow.add(node["s", s], 1, total, OVERFLOW_COST * (OVERFLOW_STEPS + 1))
     flow.run(0, 1, total)
     return {k: sum(flow.arcs[a ^ 1][1] for a in arcs) for k, arcs in given.items()}
 
