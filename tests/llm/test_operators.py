@@ -245,33 +245,73 @@ def test_mix_is_seeded_and_capped(spark):
     assert used["b"] == 2100 and abs(used["a"] + used["b"] - 7009) <= 14
 
 
-def test_languages_held_out():
+def labelled_texts():
     path = SF.replace("0.001", "0.01") + "/documents.parquet"
     if not os.path.exists(path):
         pytest.skip("test data absent")
     import pandas as pd
 
     docs = pd.read_parquet(path).dropna(subset=["text", "lang"])
-    texts = {k: g.text.tolist() for k, g in docs[docs.lang.isin(["da", "nb", "sv", "de", "en", "fr", "pl"])].groupby("lang")}
-    train = {k: [s for t in v[::2] for s in language.segments(language.clean(t))] for k, v in texts.items()}
-    models = language.fit(train)
-    right = total = 0
-    for k, v in texts.items():
-        for t in v[1::2]:
-            found = Counter()
-            for part, lang, _ in language.judge(models, t):
-                found[lang] += len(part)
-            if found:
-                total += 1
-                right += found.most_common(1)[0][0] == k
+    return [(r.lang, language.clean(r.text)) for r in docs[docs.lang.isin(["da", "nb", "sv", "de", "en", "fr", "pl"])].itertuples() if r.text.strip()]
+
+
+def test_wrong_labels_do_not_confirm_themselves():
+    # Pure documents, by models that never saw them; then every tenth gets a wrong label.
+    docs = [(lang, [p for p in language.segments(t) if len(p) > 30]) for lang, t in labelled_texts()]
+    docs = [d for d in docs if len(d[1]) > 2]
+    _, held = language.cross_fit(docs)
+    langs = sorted({lang for lang, _ in docs})
+    best = held.cost.argmin(axis=1)
+    pure = [k for k in range(len(docs)) if (best[held.doc == k] == langs.index(docs[k][0])).all()]
+    assert len(pure) > 300
+    rng = random.Random(7)
+    wrong = [(rng.choice([x for x in langs if x != docs[k][0]]) if rng.random() < 0.1 else docs[k][0], docs[k][1]) for k in pure]
+    models = language.calibrate(*language.cross_fit(wrong))
+    found = [{lang for _, lang, _ in x if lang} for x in language.judge_all(models, [" ".join(docs[k][1]) for k in pure])]
+    right = sum(f == {docs[k][0]} for f, k in zip(found, pure, strict=True))
+    assert right / len(pure) >= 0.98
+
+
+def test_languages_held_out():
+    texts = labelled_texts()
+    models = language.calibrate(*language.cross_fit([(lang, language.segments(t)) for lang, t in texts[::2]]))
+    total = right = 0
+    for (lang, _), found in zip(texts[1::2], language.judge_all(models, [t for _, t in texts[1::2]]), strict=True):
+        size = Counter()
+        for part, x, _ in found:
+            size[x] += len(part)
+        if size:
+            total += 1
+            right += size.most_common(1)[0][0] == lang
     # Some labels are wrong on purpose.
-    assert right / total > 0.85
+    assert right / total > 0.9
+
+
+def test_segments_and_their_languages():
+    da = ["Det er en meget god dag i byen, og hun har boet her længe.", "Han kom kl. 7 til nr. 5 og gik hurtigt igen med det samme.", "Der er mange huse på vejen, som ingen vil købe."] * 30
+    en = ["The house is very old and the street is long, she said.", "There are many people who want to live in this town.", "He came back from the market with apples and bread."] * 30
+    models = language.calibrate(*language.cross_fit([(x, [p]) for x, ps in (("da", da), ("en", en)) for p in ps]))
+    models.short, models.reject = frozenset({"kl", "nr", "hr"}), np.inf  # three sentences say nothing about usual costs
+    assert language.segments("Hr. Hansen kom kl. 7. Han gik. Nej", models.short) == ["Hr. Hansen kom kl. 7.", "Han gik.", "Nej"]
+    mixed = "Der er mange huse på vejen, og hun har boet her længe. There are many people who want to live in this town. Han gik hurtigt igen med det samme."
+    assert [x[1] for x in language.judge(models, mixed)] == ["da", "en", "da"]
+    quoted = "Der er mange huse på vejen, og hun har boet her længe. ”There are many people”. Han gik hurtigt igen med det samme."
+    assert [x[1] for x in language.judge(models, quoted)] == ["da"]
+    assert language.judge(models, None) == [] and language.judge(models, "😀 !!") == []
+    # A part longer than a block costs what its halves cost.
+    part = " ".join(en)
+    whole = language.segment_costs(models, [part])[0]
+    language.BLOCK, kept = 1_000, language.BLOCK
+    try:
+        assert np.allclose(language.segment_costs(models, [part])[0], whole, rtol=1e-4)
+    finally:
+        language.BLOCK = kept
 
 
 def test_probabilities_sum_to_one():
     texts = {"x": ["abab abba baba"] * 3, "y": ["cdcd dccd"] * 3}
     models = language.fit(texts)
-    keys, table = models.grams[0]
-    assert np.exp(table[:, 0]).sum() < 1.0 + 1e-9
+    assert np.exp(models.grams[0].values[:, 0]).sum() < 1.0 + 1e-6
+    assert models.grams[1].find(np.append(models.grams[1].keys, np.uint64(5))).tolist() == [*range(len(models.grams[1].keys)), -1]
     costs, _ = language.segment_costs(models, ["abba", "dcdc"])
     assert costs[0].argmin() == 0 and costs[1].argmin() == 1
