@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass, field
 from encodings.aliases import aliases
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,8 +18,8 @@ from tidende.io import materialize
 USUAL = ("cp1252", "latin-1", "cp850", "cp437", "mac_roman", "iso8859-15", "cp1251", "cp1253", "cp1250", "cp1254", "koi8-r")
 #: ASCII letters that two sentences must have in common, and in all, to count as twins.
 TWIN_LETTERS = 12
-#: Most aligned runs looked at when the transformations are inferred, those of greatest support first.
-MODEL_RUNS = 20_000
+#: Share of a word's uses from which it stands for all words that differ in non-ASCII letters only.
+ALONE = 0.9
 #: Readers of UTF-8 kept with any support; another one must explain a run that no better supported one does (fixed values).
 CLOSE = ("latin-1", "cp1252", "cp850", "cp437", "mac_roman")
 #: Letters followed through a pair of single-byte encodings (fixed values).
@@ -169,6 +170,7 @@ def align(garbled: str, clean: str) -> list[tuple[str, str]]:
     return [(a, b) for a, b in zip(parts_a[::2], parts_b[::2], strict=True) if a != b and a and b]
 
 
+@cache
 def single_byte_signs() -> dict[tuple[str, str], list[tuple[str, str]]]:
     """The pairs ``(written, read)`` that turn a letter into a sign, by ``(sign, letter)``."""
     out: dict[tuple[str, str], list[tuple[str, str]]] = {}
@@ -182,24 +184,38 @@ def single_byte_signs() -> dict[tuple[str, str], list[tuple[str, str]]]:
     return out
 
 
-def infer(runs: list[tuple[str, str, int]]) -> tuple[list[str], list[tuple[str, str]]]:
-    """Readers of UTF-8 and single-byte pairs that explain aligned runs ``(a, b, support)``, in either direction.
+def explanations(a: str, b: str) -> list[str]:
+    """What may explain an aligned run, in either direction: ``u`` and the readers of UTF-8 that turn one side into the other, or ``s``, a sign and its letter.
+
+    Runs fall into few such classes, whatever their number: subsets of the readers, and signs times letters.
+    """
+    out = []
+    for garbled, clean in ((a, b), (b, a)):
+        data = clean.encode("utf-8", "replace")
+        if len(data) == len(garbled) and min(data) >= 128:
+            readers = [r for r, table in TABLES.items() if all(table[x - 128] == c for x, c in zip(data, garbled, strict=True))]
+            if readers:
+                out.append("u" + ",".join(readers))
+        if (garbled, clean) in single_byte_signs():
+            out.append(f"s{garbled}{clean}")
+    return out
+
+
+def infer(classes: dict[str, int]) -> tuple[list[str], list[tuple[str, str]]]:
+    """Readers of UTF-8 and single-byte pairs from the support of each class of ``explanations``.
 
     Of pairs that read every letter and quotation mark alike, the most usual one stands for all.
     """
-    explained: dict[str, set[tuple[str, str]]] = {}
+    explained: dict[str, set[str]] = {}
     readers: dict[str, int] = {}
     pairs: dict[tuple[str, str], int] = {}
-    signs = single_byte_signs()
-    for a, b, support in runs:
-        for garbled, clean in ((a, b), (b, a)):
-            data = clean.encode("utf-8", "replace")
-            if len(data) == len(garbled) and min(data) >= 128:
-                for r, table in TABLES.items():
-                    if all(table[x - 128] == c for x, c in zip(data, garbled, strict=True)):
-                        readers[r] = readers.get(r, 0) + support
-                        explained.setdefault(r, set()).add((garbled, clean))
-            for pair in signs.get((garbled, clean), ()):
+    for key, support in classes.items():
+        if key[0] == "u":
+            for r in key[1:].split(","):
+                readers[r] = readers.get(r, 0) + support
+                explained.setdefault(r, set()).add(key)
+        else:
+            for pair in single_byte_signs()[key[1], key[2]]:
                 pairs[pair] = pairs.get(pair, 0) + support
     order = {name: k for k, name in enumerate(TABLES)}
     ranked = sorted(pairs, key=lambda p: (-pairs[p], order[p[0]] + order[p[1]], p))
@@ -214,11 +230,18 @@ def infer(runs: list[tuple[str, str, int]]) -> tuple[list[str], list[tuple[str,
     return kept, list(alike.values())
 
 
+def stored_texts(docs: DataFrame, name: str) -> DataFrame:
+    """``doc_id, text`` without nulls, each text of a record once, written once: what follows reads it often and shuffles no text again."""
+    kept = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    return materialize(kept.select("doc_id", "text").distinct(), name)
+
+
 def learn(docs: DataFrame) -> Model:
     """Join sentences with their most frequent twin on the text stripped of non-ASCII characters; align; infer.
 
     Equal sentences are counted before they are joined, and each variant meets one twin only, so no group is expanded into
-    pairs. The characters native to the corpus are those of at least three records and of more than one in 20,000.
+    pairs. All aligned runs count; they are brought down to the classes of ``explanations`` where they are found, and their sums are
+    few. The characters native to the corpus are those of at least three records and of more than one in 20,000.
     """
     s = segments(docs).select("segment", skeleton(F.col("segment")).alias("s"))
     s = s.where(F.length(F.regexp_replace("s", "[^A-Za-z]", "")) >= TWIN_LETTERS)
@@ -226,17 +249,16 @@ def learn(docs: DataFrame) -> Model:
     best = variants.groupBy("s").agg(F.max(F.struct("n", "segment")).alias("top"), F.count("*").alias("k")).where(F.col("k") > 1)
     twins = variants.join(best, "s").where(F.col("segment") != F.col("top.segment")).select("segment", F.col("top.segment").alias("clean"))
 
-    @F.pandas_udf("array<struct<a:string,b:string>>")
-    def aligned(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([[{"a": x, "b": y} for x, y in align(g, c)] for g, c in zip(a, b, strict=True)], dtype=object)
+    @F.pandas_udf("array<string>")
+    def classes(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([[k for x, y in align(g, c) for k in explanations(x, y)] for g, c in zip(a, b, strict=True)], dtype=object)
 
-    runs = twins.select(F.explode(aligned("segment", "clean")).alias("x")).groupBy("x.a", "x.b").agg(F.count("*").alias("n"))
-    rows = [(r.a, r.b, r.n) for r in runs.orderBy(F.desc("n"), "a", "b").limit(MODEL_RUNS).collect()]
-    readers, pairs = infer(rows)
-    chars = docs.select(F.explode(F.array_distinct(F.split("text", ""))).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
+    found = twins.select(F.explode(classes("segment", "clean")).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    readers, pairs = infer({r.k: r.n for r in found.collect()})
+    chars = docs.select(F.explode(F.array_distinct(F.split("text", ""))).alias("c")).where(F.col("c").rlike(r"[^\x00-\x{9F}]")).groupBy("c").agg(F.count("*").alias("n"))
     n = docs.count()
     # At most as many as there are characters in Unicode.
-    native = frozenset(r.c for r in chars.where((F.col("n") >= 3) & (F.col("n") * 20_000 > n) & F.col("c").rlike(r"[^\x00-\x{9F}]")).select("c").collect())
+    native = frozenset(r.c for r in chars.where((F.col("n") >= 3) & (F.col("n") * 20_000 > n)).select("c").collect())
     return Model(readers, pairs, native)
 
 
@@ -370,11 +392,11 @@ def proved_words(pieces: DataFrame, own: DataFrame, tables: list[tuple[int, dict
 def garbled_records(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """``doc_id, text, restored, signs``: each row with garbled text, restored as far as it can be known.
 
-    ``signs`` counts the multi-byte characters put back; U+FFFD stands for a letter that is lost, put back only from a
-    twin sentence. Null and empty texts, and texts without such signs, give no row; an empty table gives an empty
+    ``signs`` counts the multi-byte characters put back; U+FFFD stands for a letter that is lost, put back from a
+    twin sentence, or else where the corpus knows one word only that it can have been. Null and empty texts, and texts without such signs, give no row; an empty table gives an empty
     result. A null ``doc_id`` is no record.
     """
-    docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text").distinct()
+    docs = stored_texts(docs, "p2-texts")
     model = model or learn(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -394,7 +416,45 @@ def garbled_records(docs: DataFrame, model: Model | None = None) -> DataFrame:
     joined = tried.join(cases, "doc_id", "left")
     lost = F.col("text").contains("\ufffd")
     found = joined.where((F.col("signs") > 0) | F.col("swaps").isNotNull() | lost)
-    return _from_twins(found.select("doc_id", "text", put_back("restored", "swaps").alias("restored"), "signs"), docs)
+    return _from_words(_from_twins(found.select("doc_id", "text", put_back("restored", "swaps").alias("restored"), "signs"), docs), docs)
+
+
+def same_case(broken: str, known: str) -> str:
+    """A lower-case word put in place of one with lost letters; what was not lost stays as it was written."""
+    kept, letters = re.split("\ufffd+", broken), re.findall(r"[^\x00-\x7f]+", known)
+    loud = len(re.sub("[^A-Za-z]", "", broken)) > 1 and broken.upper() == broken
+    if len(letters) != len(kept) - 1:
+        return broken
+    letters = [x.upper() if loud else x for x in letters]
+    return "".join(x for pair in zip(kept, [*letters, ""], strict=True) for x in pair)
+
+
+def _from_words(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """Words with lost letters replaced by the word of the corpus that has any letters in their place, if there is one only, or as good as one.
+
+    Only records with lost letters take part; the words of the corpus are cut down to those that fit one of theirs.
+    """
+    lost = F.col("restored").contains("\ufffd")
+    key = lambda c: F.regexp_replace(F.lower(c), r"[^\x00-\x7F]+", "\ufffd")
+    broken = found.where(lost).select("doc_id", F.explode(F.array_distinct(words(F.col("restored")))).alias("word")).where(F.col("word").contains("\ufffd") & F.col("word").rlike("[A-Za-z]"))
+    # A word that holds lost and other non-ASCII letters fits none by its key alone, unless they stand apart.
+    broken = broken.where(~F.replace("word", F.lit("\ufffd"), F.lit("")).rlike(r"[^\x00-\x7F]")).withColumn("key", key(F.col("word")))
+    known = docs.where(F.col("text").rlike(r"[^\x00-\x7F]")).select(F.explode(words(F.col("text"))).alias("w")).where(F.col("w").rlike(r"[^\x00-\x7F]") & ~F.col("w").contains("\ufffd") & (F.regexp_replace("w", r"[^\x00-\x7F\p{L}]", "") == F.col("w")))
+    known = known.groupBy(F.lower("w").alias("w")).agg(F.count("*").alias("n")).withColumn("key", key(F.col("w"))).join(broken.select("key").distinct(), "key", "left_semi")
+    one = known.groupBy("key").agg(F.max(F.struct("n", "w")).alias("top"), F.sum("n").alias("all")).where(F.col("top.n") >= ALONE * F.col("all")).select("key", F.col("top.w").alias("known"))
+    swaps = broken.join(one, "key").groupBy("doc_id").agg(F.collect_set(F.struct("word", "known")).alias("lost_words"))
+
+    @F.pandas_udf("string")
+    def put(texts: pd.Series, swaps: pd.Series) -> pd.Series:
+        out = []
+        for text, found in zip(texts, swaps, strict=True):
+            if found is not None:
+                fixed = {x["word"]: same_case(x["word"], x["known"]) for x in found}
+                text = re.sub("[^\x00-\x40\x5b-\x60\x7b-\x7f\\s]+", lambda m: fixed.get(m.group(), m.group()), text)
+            out.append(text)
+        return pd.Series(out, dtype=object)
+
+    return found.join(swaps, "doc_id", "left").select("doc_id", "text", put("restored", "lost_words").alias("restored"), "signs")
 
 
 def _from_twins(found: DataFrame, docs: DataFrame) -> DataFrame:

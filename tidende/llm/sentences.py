@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidende.io import materialize
 from tidende.llm import encoding
 
 #: Month names that are capitalised after an ordinal (fixed values).
@@ -17,7 +18,7 @@ MONTHS = frozenset("januar februar märz april mai juni juli august september ok
 BEFORE_DATE = frozenset("am vom zum den der dem d the on".split())
 #: Words of a reporting clause after a quotation in Chinese (fixed values).
 REPORTING_ZH = ("说", "道", "表示", "问", "回答")
-#: A word starts sentences in general if it does in more than one of so many records.
+#: A word starts sentences in general if it does in more than one of so many texts.
 STARTER_SHARE = 5_000
 
 _MARKS = re.compile(r"[.!?…؟。！？।;;]+|\n+|(?<=[฀-๿])[ \t]+(?=[฀-๿])")
@@ -163,8 +164,11 @@ class Splitter:
 
 
 def corpus_statistics(docs: DataFrame, abbreviations: DataFrame) -> Corpus:
-    """Counts over all documents: for each short token with a dot what follows it, and which words start sentences."""
-    texts = docs.where(F.col("text").isNotNull()).select("text")
+    """Counts over all distinct texts: for each short token with a dot what follows it, and which words start sentences.
+
+    Copies of a text count once, so they change nothing; what a token needs is a share of the texts, two of them at least.
+    """
+    texts = materialize(docs.where(F.col("text").isNotNull()).select("text").distinct(), "p5-distinct")
     n = texts.count()
     follows = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![^\s(»”“\"])[\p{L}][\p{L}.]{0,9}\. +[\p{L}\p{N}]+"), 0)).alias("x"))
     split = follows.select(F.regexp_extract("x", r"^(.*)\. +", 1).alias("token"), F.regexp_extract("x", r"\. +([\p{L}\p{N}]+)$", 1).alias("word"))
@@ -176,7 +180,7 @@ def corpus_statistics(docs: DataFrame, abbreviations: DataFrame) -> Corpus:
     inside = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<=[\p{L},] )(\p{Ll}\p{L}*)"), 1)).alias("w")).groupBy("w").agg(F.count("*").alias("n_low"))
     upper = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<=[\p{Ll},] )(\p{Lu}\p{L}*)"), 1)).alias("w")).groupBy(F.lower("w").alias("w")).agg(F.count("*").alias("n_up"))
     # At most STARTER_SHARE times the sentences of a record; names and nouns with capitals stand inside sentences, too.
-    often = starts.where(F.col("n_start") >= max(2, n // STARTER_SHARE)).join(inside, "w", "left").join(upper, "w", "left").fillna(0)
+    often = starts.where(F.col("n_start") >= max(2, -(-n // STARTER_SHARE))).join(inside, "w", "left").join(upper, "w", "left").fillna(0)
     general = often.where((F.col("n_up") <= 0.2 * F.col("n_start")) | (F.col("n_low") > F.col("n_up"))).select("w")
     starters = frozenset(r.w for r in general.collect())
     kind = F.when(F.col("word").rlike(r"^\p{N}"), "digit").when(F.col("word").rlike(r"^\p{Lu}"), "capital").otherwise("low")
@@ -194,7 +198,7 @@ def corpus_statistics(docs: DataFrame, abbreviations: DataFrame) -> Corpus:
     dotted = F.col("token").rlike(r"^(\p{L}{1,4}\.)+\p{L}{1,4}$")
     found = rates.where((F.col("low") >= 2) & (F.col("low") + F.col("digit") > 0.05 * F.col("capital")) | (F.col("digit") > 0.6 * (F.col("low") + F.col("digit") + F.col("capital"))) & (F.col("digit") >= 3) | dotted & (F.col("low") + F.col("digit") + F.col("capital") >= 2) | F.col("token").isin(given) | ((F.col("starting") < 0.02 * F.col("capital")) & (F.col("capital") >= 5) & (F.length("token") <= 4) & (F.col("plain") < 0.2 * F.col("capital"))))
     # Short tokens with dots in use by several records: a closed class, bounded as the starters are.
-    rows = found.where(F.col("low") + F.col("digit") + F.col("capital") >= max(2, n // STARTER_SHARE)).collect()
+    rows = found.where(F.col("low") + F.col("digit") + F.col("capital") >= max(2, -(-n // STARTER_SHARE))).collect()
     closing = {r.token: (r.starting / r.capital if r.capital else 0.0) for r in rows}
     digits = {r.token: r.digit / (r.digit + r.capital + r.low) for r in rows}
     for a in given:
@@ -230,7 +234,7 @@ def sentences(docs: DataFrame, abbreviations: DataFrame, corpus: Corpus | None =
     refer to what is stored. A ``doc_id`` delivered several times counts once for each different text. Null, empty and
     blank texts and null ``doc_id`` give no row; an empty table gives an empty result.
     """
-    docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text").distinct()
+    docs = encoding.stored_texts(docs, "p5-texts")
     corpus = corpus or corpus_statistics(docs, abbreviations)
     model = model or encoding.learn(docs)
     shared = docs.sparkSession.sparkContext.broadcast((corpus, model))
