@@ -15,6 +15,10 @@ from tidende.io import materialize
 BITS = 512
 #: Sketches of one trie; a larger shard is cut into blocks, and each pair of blocks is a task of its own.
 BLOCK = 2000
+#: A class, or a run, of more than one of so many documents, or classes, is hot; there are few, by this very share.
+HOT_SHARE = 1000
+#: Parts that the members of a hot class are split into.
+PARTS = 32
 #: Pairs of sketches a step of the traversal compares at once.
 STEP = 200_000
 
@@ -134,9 +138,8 @@ def _join_shards(ratio: float):
             if len(at) > 1:
                 i, j = trie_pairs(sketches[at], size[at], shard[at], ratio, side[at] if sides else None)
                 found.append(np.stack([ids[at][i], ids[at][j]]))
-        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
-        out = pd.DataFrame({"a": np.minimum(*pairs), "b": np.maximum(*pairs)}, dtype="int64")
-        return out.drop_duplicates()
+        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=object)
+        return pd.DataFrame({"a": np.minimum(*pairs), "b": np.maximum(*pairs)}, dtype=object).drop_duplicates()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -160,14 +163,25 @@ def _join_shards(ratio: float):
 def text_classes(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     """Classes of equal word-run sets, ``class_id, runs``, and ``doc_id, class_id`` of each document with such a set.
 
-    Copies, even a third of all rows, are one class, found by a hash of the whole set before anything is compared.
+    Copies, even a third of all rows, are one class, found by 128 bits of hash of the whole set before anything is compared.
     """
     runs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.array_sort(word_runs(F.col("text"), words)).alias("runs")).where(F.col("runs").isNotNull())
-    named = materialize(runs.select("doc_id", "runs", F.xxhash64("runs", F.lit(7)).alias("class_id")), "p4-runs")
+    # Two seeds: the second hash goes through the set from another state.
+    halves = [F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64("runs"), F.xxhash64(F.lit(7), "runs"))]
+    named = materialize(runs.select("doc_id", "runs", F.unhex(F.concat(*halves)).alias("class_id")), "p4-runs")
     classes = named.groupBy("class_id").agg(F.first("runs").alias("runs"))
     return classes, named.select("doc_id", "class_id").distinct()
 
 
+def with_frequency(exploded: DataFrame, classes: int) -> DataFrame:
+    """``class_id, size, run, df`` of the runs of several classes. Hot runs, at most ``HOT_SHARE`` times the mean size of a set, are
+    joined by broadcast; the keys of the other join are none that many rows share."""
+    df = materialize(exploded.groupBy("run").agg(F.count("*").alias("df")).where(F.col("df") > 1), "p4-df")
+    hot = F.broadcast(df.where(F.col("df") * HOT_SHARE > classes))
+    cold = exploded.join(hot.select("run"), "run", "left_anti").join(df.where(F.col("df") * HOT_SHARE <= classes), "run")
+    return exploded.join(hot, "run").unionByName(cold)
+
+
 def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
     """``a, b, jaccard`` (a < b) of classes alike by at least ``threshold``: exact, no pair is lost.
 
@@ -179,9 +193,8 @@ def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
     budget = (1.0 - threshold) / (1.0 + threshold)
     classes = materialize(classes, "p4-classes")
     exploded = classes.select("class_id", F.size("runs").alias("size"), F.explode("runs").alias("run"))
-    df = exploded.groupBy("run").agg(F.count("*").alias("df"))
     # Runs in rare-first order; those of one class only stand first and need no shard, yet count for the prefix.
-    shared = exploded.join(df.where(F.col("df") > 1), "run")
+    shared = with_frequency(exploded, classes.count())
     ranked = shared.groupBy("class_id", "size").agg(F.array_sort(F.collect_list(F.struct("df", "run"))).alias("r"))
     lone = F.col("size") - F.size("r")
     prefix = F.floor(F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - F.lit(1e-9)) + 1) - lone
@@ -204,7 +217,7 @@ def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
     side = F.when(F.col("mine") == F.col("other"), -1).when(F.col("mine") < F.col("other"), 0).otherwise(1)
     tasks = placed.select("run", (low * F.col("blocks") + high).alias("block"), side.cast("int").alias("side"), "class_id", "size", "sketch")
     tasks = tasks.repartition("run", "block").sortWithinPartitions("run", "block")
-    pairs = tasks.mapInPandas(_join_shards(budget), "a long, b long").distinct()
+    pairs = tasks.mapInPandas(_join_shards(budget), "a binary, b binary").distinct()
     sets = classes.select("class_id", "runs")
     both = pairs.join(sets.toDF("a", "runs_a"), "a").join(sets.toDF("b", "runs_b"), "b")
     common = F.size(F.array_intersect("runs_a", "runs_b"))
@@ -223,7 +236,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) ->
     both = links.select(F.col("a").alias("class_id")).unionByName(links.select(F.col("b").alias("class_id")))
     counted = both.groupBy("class_id").agg(F.count("*").alias("links"))
     sizes = members.groupBy("class_id").agg(F.count("*").alias("copies"))
-    return members.join(sizes.join(counted, "class_id", "left"), "class_id").select("doc_id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    named = sizes.join(counted, "class_id", "left").select("class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    # The narrow side of a hot class is one row.
+    hot = named.where(F.col("copies") * HOT_SHARE > members.count())
+    cold = members.join(F.broadcast(hot.select("class_id")), "class_id", "left_anti").join(named, "class_id")
+    return members.join(F.broadcast(hot), "class_id").unionByName(cold).select("doc_id", F.lower(F.hex("class_id")).alias("class_id"), "copies", "links")
 
 
 def alike_documents(docs: DataFrame, threshold: float = 0.5, words: int = 3) -> DataFrame:
@@ -234,9 +251,24 @@ def alike_documents(docs: DataFrame, threshold: float = 0.5, words: int = 3) ->
     classes, members = text_classes(docs, words)
     members = materialize(members, "p4-members")
     links = similar_classes(classes, threshold)
-    alike = links.join(members.toDF("x", "a"), "a").join(members.toDF("y", "b"), "b").select("x", "y")
-    twice = members.groupBy("class_id").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("class_id")
-    copies = members.join(twice, "class_id")
-    equal = copies.select(F.col("doc_id").alias("x"), "class_id").join(copies.select(F.col("doc_id").alias("y"), "class_id"), "class_id").where(F.col("x") < F.col("y")).select("x", "y")
+    sizes = materialize(members.groupBy("class_id").agg(F.count("*").alias("n")), "p4-sizes")
+    # Fewer than HOT_SHARE rows: classes that hold more than that share of all documents.
+    hot = F.broadcast(sizes.where(F.col("n") * HOT_SHARE > members.count()).select("class_id", F.lit(PARTS).alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    part = F.pmod(F.xxhash64("doc_id"), parts).cast("int")
+    split = members.join(hot, "class_id", "left").select("doc_id", "class_id", parts.alias("parts"), part.alias("part"))
+    every = lambda c: F.explode(F.sequence(F.lit(0), c - 1))
+    # A link meets the members of its two classes part by part.
+    wide = links.select("a", "b")
+    for c in "ab":
+        wide = wide.join(hot.select(F.col("class_id").alias(c), F.col("parts").alias(f"parts_{c}")), c, "left")
+    wide = wide.withColumn("part_a", every(F.coalesce("parts_a", F.lit(1)))).withColumn("part_b", every(F.coalesce("parts_b", F.lit(1)))).select("a", "b", "part_a", "part_b")
+    side = split.select("doc_id", "class_id", "part")
+    alike = wide.join(side.toDF("x", "a", "part_a"), ["a", "part_a"]).join(side.toDF("y", "b", "part_b"), ["b", "part_b"]).select("x", "y")
+    # So do the copies of a class: each pair of its parts is a key of its own.
+    copies = split.join(sizes.where(F.col("n") > 1).select("class_id"), "class_id", "left_semi")
+    left = copies.select(F.col("doc_id").alias("x"), "class_id", F.col("part").alias("px"), every(F.col("parts")).alias("py"))
+    right = copies.select(F.col("doc_id").alias("y"), "class_id", F.col("part").alias("py"), every(F.col("parts")).alias("px"))
+    equal = left.join(right, ["class_id", "px", "py"]).where(F.col("x") < F.col("y")).select("x", "y")
     pairs = alike.where(F.col("x") != F.col("y")).unionByName(equal)
     return pairs.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
