@@ -36,6 +36,7 @@ def run_all(make):
         "p8": lambda: tokenizer.encode_texts(make(NUMBERED), keep=["doc_id"]),
         "p9": lambda: mixing.mix(make(NUMBERED), make(TARGETS)),
         "p9s": lambda: mixing.shares(make(NUMBERED), make(TARGETS)),
+        "p9o": lambda: mixing.mix(make(NUMBERED), make(TARGETS), sized=mixing.distinct_texts(make(NUMBERED))),
         "p10": lambda: language.label_cases(make(NUMBERED), make(LABELS)),
     }
 

@@ -75,6 +75,8 @@ def test_sketch_bounds_the_difference():
 
 def test_near_duplicates_against_sets(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 7)
+    monkeypatch.setattr(neardup, "HOT_SHARE", 10)  # the 20 copies are a hot class, and their runs hot ones
+    monkeypatch.setattr(neardup, "PARTS", 3)
     rng = random.Random(4)
     docs = []
     for k in range(12):
@@ -246,6 +248,15 @@ def test_flow_takes_what_the_repeats_allow():
     # Nine tenths of the target have no documents; the repeats of the rest reach the total.
     got = mixing.route({("a",): 1000}, {"a": (0.1, 10), "gone": (0.9, 1)}, 10_000)
     assert got == {(("a",), "a"): 10_000}
+    # Small quotas; and a share of 0 gives nothing.
+    assert sum(mixing.route({("a",): 1_000_000, ("b",): 10}, {"a": (0.01, 1), "b": (0.99, 1)}, 1_000_010).values()) == 1_000_010
+    assert mixing.route({("a",): 1_000_000, ("b",): 10}, {"a": (0.0, 1), "b": (1.0, 1)}, 1_000_010) == {(("a",), "a"): 0, (("b",), "b"): 10}
+
+
+def test_texts_of_several_sources(spark):
+    docs = [(1, "samme tekst", "A"), (2, "samme tekst", "b "), (3, "anden tekst", "a"), (4, None, "a"), (5, "uden kilde", None)]
+    got = mixing.distinct_texts(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    assert {(r.doc_id, tuple(r.sources)) for r in got} == {(1, ("a", "b")), (3, ("a",)), (5, ())}
 
 
 def test_mix_is_seeded_and_capped(spark):

@@ -66,7 +66,8 @@ def route(capacity: dict[tuple[str, ...], int], targets: dict[str, tuple[float,
 
     A pattern's r-th use costs r squared, so documents are repeated as evenly as can be; a source is filled to its quota at
     no further cost, and beyond it, where others fall short, in steps that cost ever more, so that the rest spreads by
-    target share.
+    target share, and then without bound but its repeats: the total is reached if the documents' repeats allow it. A
+    source of share 0 gets nothing.
     """
     patterns, sources = sorted(capacity), sorted(targets)
     node = {("p", p): 2 + i for i, p in enumerate(patterns)} | {("s", s): 2 + len(patterns) + i for i, s in enumerate(sources)}
@@ -79,16 +80,18 @@ def route(capacity: dict[tuple[str, ...], int], targets: dict[str, tuple[float,
             given[p, s] = [flow.add(node["p", p], node["s", s], capacity[p], r * r) for r in range(1, targets[s][1] + 1)]
     for s in sources:
         quota = int(round(targets[s][0] * total))
+        if not targets[s][0]:  # no share wanted, none given
+            continue
         flow.add(node["s", s], 1, quota, 0)
         for step in range(1, OVERFLOW_STEPS + 1):
             flow.add(node["s", s], 1, max(1, quota // 100), OVERFLOW_COST * step)
-        if quota:  # beyond the steps only the repeats bound it
-            flow.add(node["s", s], 1, total, OVERFLOW_COST * (OVERFLOW_STEPS + 1))
+        # Beyond the steps only the repeats bound it.
+        flow.add(node["s", s], 1, total, OVERFLOW_COST * (OVERFLOW_STEPS + 1))
     flow.run(0, 1, total)
     return {k: sum(flow.arcs[a ^ 1][1] for a in arcs) for k, arcs in given.items()}
 
 
-def token_counts(documents: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+def token_counts(documents: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS, keep: list[str] | None = None) -> DataFrame:
     """``doc_id, sources, tokens``: membership and size of each document; null and empty texts have none."""
     vocabulary = documents.sparkSession.sparkContext.broadcast(load(tokenizer, folder))
 
@@ -100,7 +103,20 @@ def token_counts(documents: DataFrame, tokenizer: str = "byte_bpe_50k", folder:
 
     source = F.lower(F.trim("source"))
     member = F.when(source != "", F.array(source)).otherwise(F.array().cast("array<string>"))
-    return documents.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce(member, F.array().cast("array<string>")).alias("sources"), size("text").alias("tokens"))
+    return documents.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce(member, F.array().cast("array<string>")).alias("sources"), size("text").alias("tokens"), *(keep or []))
+
+
+def distinct_texts(documents: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+    """``doc_id, sources, tokens`` of each distinct text: the least ``doc_id`` that holds it, and all sources it came from.
+
+    A text that several sources delivered may fill the share of any of them. Copies are brought together by two hashes of the
+    text, aggregated before the shuffle; no text is shuffled.
+    """
+    sized = token_counts(documents.where(F.col("text").isNotNull()), tokenizer, folder, keep=["text"])
+    hashed = sized.select("doc_id", "sources", "tokens", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"))
+    one = F.explode_outer("sources")
+    each = hashed.select("h1", "h2", "doc_id", "tokens", one.alias("source")).groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"), F.array_sort(F.collect_set("source")).alias("sources"))
+    return each.select("doc_id", "sources", "tokens")
 
 
 def mix(documents: DataFrame, targets: DataFrame, seed: int = 42, tokenizer: str = "byte_bpe_50k", sized: DataFrame | None = None) -> DataFrame:
@@ -109,7 +125,7 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 42, tokenizer: str
     The total is that of ``documents``. Documents of null, blank or unknown sources aren't used; a source without documents or
     with too few of them falls short, and the others take its part by target share as far as their repeats allow. Chosen
     are the documents that come first by a seeded hash, so a source is met to within one document. ``sized`` may give documents
-    with several sources each, ``doc_id, sources, tokens``. An empty table gives an empty mix.
+    with several sources each, ``doc_id, sources, tokens``; the flow then decides which source uses how much of each membership pattern. An empty table gives an empty mix.
     """
     sized = materialize(sized if sized is not None else token_counts(documents, tokenizer), "p9-sizes")
     # A row a source: the table of targets is small and fixed.

@@ -94,6 +94,12 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
 
 
+def p9_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """The mix of distinct texts, each of all sources that delivered it."""
+    d, t = table(spark, sf, "documents"), table(spark, sf, "mix_targets")
+    return mixing.mix(d, t, sized=mixing.distinct_texts(d))
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return language.label_cases(table(spark, sf, "documents"), table(spark, sf, "language_names")).select("doc_id", "lang")
 
@@ -103,7 +109,7 @@ def p10_segments(spark: SparkSession, sf: str) -> DataFrame:
     return language.detect(table(spark, sf, "documents"), table(spark, sf, "language_names"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_weights, p2_found, p2_restored, p4_found, p4_groups, p5_found, p5_sentences, p6_found, p6_names, p7_found, p7_terms, p7_ngrams, p8_ids, p9_mix, p9_shares, p10_found, p10_segments)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_weights, p2_found, p2_restored, p4_found, p4_groups, p5_found, p5_sentences, p6_found, p6_names, p7_found, p7_terms, p7_ngrams, p8_ids, p9_mix, p9_shares, p9_overlap, p10_found, p10_segments)}
 
 SQL = {
     "p1_found": f"""WITH {_LATEST},
