@@ -28,6 +28,18 @@ def test_em_against_a_plain_loop():
         assert np.allclose(p, g, atol=1e-6) and abs(g.sum() - 1) < 1e-9
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test data absent")
+def test_probabilities_choose_the_candidates(spark):
+    from pyspark.sql import functions as F
+
+    scored = distinctive.scored_records(spark.read.parquet(SF.replace("0.001", "0.01") + "/doc2terms.parquet"))
+    weight = lambda x: -x["tf"] * (F.log((1 + F.col("n_docs")) / (1 + x["df"])) + 1)
+    top = F.array_min(F.transform("terms", lambda x: F.struct(weight(x).alias("w"), x["term"].alias("term"))))["term"]
+    left = distinctive.candidates()
+    row = scored.select(F.size(left).alias("c"), F.size("terms").alias("n"), F.exists(left, lambda x: x["term"] == top).cast("int").alias("hit")).agg(F.sum("c"), F.sum("n"), F.avg("hit")).first()
+    assert row[0] < 0.9 * row[1] and row[2] > 0.95, row
+
+
 def test_suffix_counts_against_counters():
     rng = random.Random(1)
     docs = [np.array([rng.choice("abcd") for _ in range(rng.randint(0, 30))], dtype=object) for _ in range(20)]

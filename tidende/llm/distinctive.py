@@ -4,16 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidende.io import materialize
 from tidende.llm.common import latest_terms
 
-#: Most terms whose background probability is broadcast (about 100 bytes each); beyond it all are joined by shuffle.
-BROADCAST_TERMS = 100_000
-#: Terms in more than one of so many records are joined apart from the others, as their keys are hot.
-HOT_SHARE = 50
+#: Terms with more than one of so many of all rows (record, term) are broadcast (about 100 bytes each); there are fewer than that.
+HOT_SHARE = 100_000
 
 
 def em_probabilities(tf: list[np.ndarray], background: list[np.ndarray], mix: float, max_iter: int, tol: float) -> list[np.ndarray]:
@@ -45,8 +43,35 @@ def em_probabilities(tf: list[np.ndarray], background: list[np.ndarray], mix: fl
 
 
 def term_frequencies(doc2terms: DataFrame) -> DataFrame:
-    """``doc_id, term, tf`` of each record's latest run; the grouping reuses the partitioning by ``doc_id``."""
-    return latest_terms(doc2terms).select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id", "term").agg(F.count("*").cast("int").alias("tf"))
+    """``doc_id, t`` of each record with a term: its terms with their counts; the groupings reuse the partitioning by ``doc_id``."""
+    each = latest_terms(doc2terms).select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id", "term").agg(F.count("*").cast("int").alias("tf"))
+    return each.groupBy("doc_id").agg(F.collect_list(F.struct("term", "tf")).alias("t"))
+
+
+def scored_records(doc2terms: DataFrame, mix: float = 0.5, max_iter: int = 60, tol: float = 1e-6) -> DataFrame:
+    """``doc_id, n_docs, size, terms`` of each record: its occurrences, and its terms as structs ``term, tf, df, background, plm``.
+
+    Between the shuffles a record goes by a number. Hot terms get their background by broadcast and the others by a join in which no
+    key is hot.
+    """
+    records = materialize(term_frequencies(doc2terms).withColumn("rid", F.monotonically_increasing_id()), "p1-records")
+    tf = records.select("rid", F.explode("t").alias("t")).select("rid", "t.term", "t.tf")
+    df = materialize(tf.groupBy("term").agg(F.count("*").alias("df")), "p1-df")
+    # Two scalars.
+    n, total = records.count(), df.agg(F.sum("df")).first()[0] or 1
+    bg = df.select("term", "df", (F.col("df") / F.lit(float(total))).alias("background"))
+    is_hot = F.col("df") * HOT_SHARE > total
+    hot = F.broadcast(bg.where(is_hot))
+    cold = tf.join(F.broadcast(bg.where(is_hot).select("term")), "term", "left_anti").join(bg.where(~is_hot), "term")
+    joined = tf.join(hot, "term").unionByName(cold)
+    per = joined.groupBy("rid").agg(F.sum("tf").alias("size"), F.collect_list(F.struct("term", "tf", "df", "background")).alias("t"))
+
+    @F.pandas_udf("array<double>")
+    def em(counts: pd.Series, back: pd.Series) -> pd.Series:
+        return pd.Series(em_probabilities(list(counts), list(back), mix, max_iter, tol), dtype=object)
+
+    both = F.zip_with("t", em(F.col("t.tf"), F.col("t.background")), lambda t, p: F.struct(t["term"].alias("term"), t["tf"].alias("tf"), t["df"].alias("df"), t["background"].alias("background"), p.alias("plm")))
+    return per.select("rid", "size", both.alias("terms")).join(records.select("rid", "doc_id"), "rid").select("doc_id", F.lit(n).alias("n_docs"), "size", "terms")
 
 
 def parsimonious_weights(doc2terms: DataFrame, mix: float = 0.5, max_iter: int = 60, tol: float = 1e-6) -> DataFrame:
@@ -57,35 +82,31 @@ def parsimonious_weights(doc2terms: DataFrame, mix: float = 0.5, max_iter: int =
     A record without terms gives no row; an empty table gives an empty result. Ties keep equal weights. Extra columns are
     ignored.
     """
-    tf = materialize(term_frequencies(doc2terms), "p1-tf")
-    seen = materialize(tf.groupBy("term").agg(F.count("*").alias("df")), "p1-df")
-    # Two scalars; n is the number of records with a term.
-    n = tf.select("doc_id").distinct().count()
-    total = seen.agg(F.sum("df")).first()[0] or 1
-    bg = seen.select("term", "df", (F.col("df") / F.lit(float(total))).alias("background"))
-    hot_rows = bg.where(F.col("df") * HOT_SHARE > n)
-    # At most HOT_SHARE times the mean number of distinct terms a record; counted before it is broadcast.
-    if hot_rows.count() <= BROADCAST_TERMS:
-        hot = tf.join(F.broadcast(hot_rows), "term")
-        joined = hot.unionByName(tf.join(F.broadcast(hot_rows.select("term")), "term", "left_anti").join(bg.where(F.col("df") * HOT_SHARE <= n), "term"))
-    else:
-        joined = tf.join(bg, "term")
-    per_doc = joined.groupBy("doc_id").agg(F.collect_list(F.struct("term", "tf", "df", "background")).alias("t"))
+    rows = scored_records(doc2terms, mix, max_iter, tol).select("doc_id", "n_docs", F.explode("terms").alias("x"))
+    return rows.select("doc_id", "x.term", "x.tf", "x.df", "n_docs", "x.background", "x.plm")
+
+
+def gained(x: Column) -> Column:
+    """Whether expectation-maximisation left a term of ``scored_records`` its share of the record at least, as the background took none of it."""
+    return x["plm"] * F.col("size") >= x["tf"]
 
-    @F.pandas_udf("array<double>")
-    def em(counts: pd.Series, back: pd.Series) -> pd.Series:
-        return pd.Series(em_probabilities(list(counts), list(back), mix, max_iter, tol), dtype=object)
 
-    scored = per_doc.select("doc_id", "t", em(F.col("t.tf"), F.col("t.background")).alias("p"))
-    rows = scored.select("doc_id", F.explode(F.arrays_zip("t", "p")).alias("x"))
-    return rows.select("doc_id", "x.t.term", "x.t.tf", "x.t.df", F.lit(n).alias("n_docs"), "x.t.background", F.col("x.p").alias("plm"))
+def candidates() -> Column:
+    """The terms of a record that the converged probabilities rank above the background; all of them if there is none."""
+    kept = F.filter("terms", gained)
+    return F.when(F.size(kept) > 0, kept).otherwise(F.col("terms"))
 
 
 def most_distinctive(doc2terms: DataFrame) -> DataFrame:
-    """``doc_id, term``: of each record's terms, as ranked by ``parsimonious_weights``, the one of greatest exact weight.
+    """``doc_id, term``: each record's term of greatest weight, among those that the converged probabilities rank above the background.
 
-    The exact check after it: tf * (ln((1 + n) / (1 + df)) + 1); ties by code point. It needs no further shuffle.
+    The exact check within the record: weights, tf * (ln((1 + n) / (1 + df)) + 1), are worked out for the candidates; a
+    term that lost mass to the background is looked at only if its tf times the greatest possible factor reaches the best
+    of them, so none is lost. Ties by code point.
     """
-    w = parsimonious_weights(doc2terms)
-    weight = F.col("tf") * (F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
-    return w.groupBy("doc_id").agg(F.min(F.struct((-weight).alias("w"), "term")).alias("b")).select("doc_id", F.col("b.term").alias("term"))
+    most = F.log((F.lit(1.0) + F.col("n_docs")) / F.lit(2.0)) + F.lit(1.0)
+    weight = lambda x: x["tf"] * (F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + x["df"])) + F.lit(1.0))
+    ranked = lambda terms: F.array_min(F.transform(terms, lambda x: F.struct((-weight(x)).alias("w"), x["term"].alias("term"))))
+    best = scored_records(doc2terms).withColumn("best", ranked(candidates()))
+    rest = F.filter("terms", lambda x: ~gained(x) & (x["tf"] * most >= -F.col("best.w")))
+    return best.select("doc_id", F.least("best", F.coalesce(ranked(rest), F.col("best"))).alias("b")).select("doc_id", F.col("b.term").alias("term"))
