@@ -52,6 +52,46 @@ def test_compaction_of_an_empty_table(spark, tmp_path):
     assert compaction.adds_nothing(files).count() == 0
 
 
+def test_compaction_of_many_small_files(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    (tmp_path / "in").mkdir()
+    for k in range(20_000):
+        table = pa.table({"doc_id": [f"d{k % 19_000}"], "text": [f"tekst {k}"], "file_path": [f"p{k:05}"], "loaded_at": pa.array([k], pa.timestamp("us"))})
+        pq.write_table(table, tmp_path / "in" / f"{k}.parquet", compression="none")
+    files = spark.read.schema("doc_id string, text string, file_path string, loaded_at timestamp_ntz").parquet(f"file://{tmp_path}/in")
+    out = compaction.compact(files, f"file://{tmp_path}/out")
+    assert out.count() == 19_000 and out.select("doc_id").distinct().count() == 19_000 and len(out.inputFiles()) <= 2
+
+
+def test_compaction_that_died_while_publishing(spark, tmp_path):
+    rows = lambda *names: spark.createDataFrame([(n, "x", n, None, 1, None) for n in names], FILES)
+    target = f"file://{tmp_path}/out"
+    compaction.compact(rows("a"), target, input_bytes=1)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    # Between the two renames: the table is put aside, the new one not yet in its place.
+    assert fs.rename(hadoop.Path(target), hadoop.Path(target + ".before"))
+
+    class Dies:
+        def __getattr__(self, name):
+            return getattr(fs, name)
+
+        def rename(self, a, b):
+            if str(a).endswith(".staging"):
+                raise KeyboardInterrupt
+            return fs.rename(a, b)
+
+    import pytest
+
+    assert not fs.exists(hadoop.Path(target))
+    with pytest.raises(KeyboardInterrupt):
+        compaction.publish(Dies(), hadoop.Path(target + ".staging"), hadoop.Path(target), hadoop.Path(target + ".before"))
+    done = compaction.compact(rows("b"), target, input_bytes=1)
+    assert [r.doc_id for r in done.collect()] == ["b"] and not fs.exists(hadoop.Path(target + ".before"))
+
+
 def test_split_packing_puts_settings_back(spark):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes", None)
     with compaction.split_packing(spark, 1234567, 1000):

@@ -154,13 +154,25 @@ def format_chars_off(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(c, r"\p{Cf}", "")))
 
 
+#: Signs that stand alone among the tokens: of each of Unicode's classes of punctuation and symbols all but the connectors and marks of writing words.
+SINGLE = r"\p{Pd}\p{Ps}\p{Pe}\p{Pi}\p{Pf}\p{Po}\p{S}"
+#: An address: a scheme or none, labels with dots between, the last one of letters, and a path or none.
+ADDRESS = r"(?:[a-z]+://)?(?:[\p{L}\p{N}_\-]+\.)+\p{L}{2,}(?:/[^\s,;]*)?"
+
+
+def _literal(s: str) -> str:
+    """A text as a pattern of itself."""
+    return "".join(c if c.isalnum() else f"\\{c}" for c in s)
+
+
 def danish_tokens(c: Column, abbreviations: list[str]) -> Column:
-    """Tokens: known abbreviations, addresses, clitics and words, each first match winning; any other sign alone."""
-    abbr = [a.replace(".", r"\.\s*")[:-3] if a.endswith(".") else a.replace(".", r"\.\s*") for a in sorted(abbreviations, key=lambda a: (-len(a), a))]
-    starts = "".join(f"{a}|" for a in abbr)
-    url = r"(?:https?://)?(?:[\w-]+\.)+[\w-]+(?:/[;,./?%&=\w]*)?"
-    word = r"[^–—;’‘‚”“„‡†•%'…)(«\-,‰‹»›?!\"\[\]`:{}\s.]+"
-    return F.regexp_extract_all(c, F.lit(rf"({starts}(?U){url}|'s|'|{word}|\S)"), 1)
+    """Tokens: known abbreviations, addresses, the genitive after an apostrophe, words, and any other sign alone; the first that fits at a place wins.
+
+    A word is a run of anything but white space and the signs that stand alone.
+    """
+    short = "|".join(_literal(a) for a in sorted(abbreviations, key=lambda a: (-len(a), a)))
+    parts = [short, ADDRESS, "'s", rf"[^\s{SINGLE}]+", r"\S"]
+    return F.regexp_extract_all(c, F.lit("|".join(p for p in parts if p)), 0)
 
 
 def token_sentences(tokens: Column) -> Column:
@@ -176,3 +188,8 @@ def token_sentences(tokens: Column) -> Column:
     flags = F.transform(tokens, lambda t, i: F.when(cut(t, i), i))
     ends = F.concat(F.filter(flags, lambda x: x.isNotNull()), F.array(F.size(tokens) - 1))
     return F.transform(ends, lambda e, k: F.slice(tokens, F.when(k == 0, 1).otherwise(F.get(ends, k - 1) + 2), e - F.when(k == 0, -1).otherwise(F.get(ends, k - 1))))
+
+
+def holds_all(a: Column, b: Column) -> Column:
+    """Whether every entry of the list ``a`` is in ``b``; not the other way round."""
+    return F.size(F.array_except(a, b)) == 0

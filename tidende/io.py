@@ -15,17 +15,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); only where it is unset, as in tests, a local one."""
+    """The shared folder of the cluster (``spark.checkpoint.dir``); where it is unset a local one, but only if the session itself is local."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         shared = "file://" + os.path.join(tempfile.gettempdir(), "tidende-work")
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{work_dir(spark)}/tidende/{name}-{uuid.uuid4().hex}"
+    """A new path under the shared folder; what lies there is removed when the application ends."""
+    path = f"{work_dir(spark)}/tidende/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Articles of the encyclopedia, by default (a fixed value).
 ARTICLES = 474_017
+#: Entities of one source that meet in one task.
+PART = 500
 
 
 def milne_witten(a: Column, b: Column, both: Column, n: Column) -> Column:
@@ -17,22 +19,32 @@ def milne_witten(a: Column, b: Column, both: Column, n: Column) -> Column:
 def coherence(inlink: DataFrame, pairs: DataFrame | None = None, articles: int = ARTICLES, hub: int | None = None) -> DataFrame:
     """``a, b, shared, coherence`` (a < b) of entities with a linking page in common and a value above 0.
 
-    ``inlink`` is ``entity, source``. With ``pairs`` (``a, b``, the candidates of the documents) only these are worked out: an
-    entity's sources meet on the pair, not on the source, so a page with very many links is no hot group. Without it, sources are
-    self-joined; ``hub`` then takes out those that link to more entities than that, for the pairs whose other shared
+    ``inlink`` is ``entity, source``. With ``pairs`` (``a, b``, the candidates of the documents) only these are worked out: the
+    sources of the rarer entity are looked up among those of the other. Without it, sources are self-joined, those of many entities
+    in parts; ``hub`` then takes out those that link to more entities than that, for the pairs whose other shared
     sources are to decide.
     """
     links = inlink.select("entity", "source").distinct()
     sizes = links.groupBy("entity").agg(F.count("*").alias("n"))
     if pairs is not None:
         wanted = pairs.where(F.col("a") < F.col("b")).select("a", "b").distinct()
-        left = wanted.join(links.toDF("a", "source"), "a")
-        shared = left.join(links.toDF("b", "source"), ["b", "source"], "left_semi").groupBy("a", "b").agg(F.count("*").alias("shared"))
+        sized = wanted.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
+        # The entity of fewer sources is expanded, the other one only looked up.
+        few = F.when(F.col("n_a") <= F.col("n_b"), F.col("a")).otherwise(F.col("b"))
+        sided = sized.select("a", "b", few.alias("few"), F.when(few == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("many"))
+        left = sided.join(links.toDF("few", "source"), "few")
+        shared = left.join(links.toDF("many", "source"), ["many", "source"], "left_semi").groupBy("a", "b").agg(F.count("*").alias("shared"))
     else:
         if hub:
             wide = links.groupBy("source").agg(F.count("*").alias("k")).where(F.col("k") <= hub).select("source")
             links = links.join(wide, "source", "left_semi")
-        both = links.toDF("a", "source").join(links.toDF("b", "source"), "source").where(F.col("a") < F.col("b"))
+        # A source of many entities is cut into parts; each pair of its parts is a key of its own.
+        parts = links.groupBy("source").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+        split = links.join(parts, "source").withColumn("part", F.pmod(F.xxhash64("entity"), F.col("parts")).cast("int"))
+        every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        low = split.select("source", F.col("entity").alias("a"), F.col("part").alias("pa"), every.alias("pb"))
+        high = split.select("source", F.col("entity").alias("b"), F.col("part").alias("pb"), every.alias("pa"))
+        both = low.join(high, ["source", "pa", "pb"]).where(F.col("a") < F.col("b"))
         shared = both.groupBy("a", "b").agg(F.count("*").alias("shared"))
     joined = shared.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
     value = milne_witten(F.col("n_a"), F.col("n_b"), F.col("shared"), F.lit(articles))

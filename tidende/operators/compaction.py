@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidende.io import fresh_path
@@ -40,12 +40,36 @@ def superfluous_files(files: DataFrame) -> DataFrame:
     return keys.select("file_path").join(first, "file_path", "left_anti")
 
 
+def _checks(df: DataFrame) -> list[Column]:
+    return [F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(*[F.col(c) for c in sorted(df.columns)]).cast("decimal(38,0)")).alias("sum")]
+
+
 def content_check(df: DataFrame) -> tuple[int, int]:
     """Rows, and an order-free checksum over every column."""
-    row = df.agg(F.count("*"), F.sum(F.xxhash64(*[F.col(c) for c in sorted(df.columns)]).cast("decimal(38,0)"))).first()
+    row = df.agg(*_checks(df)).first()
     return row[0], int(row[1] or 0)
 
 
+def bytes_of(files: DataFrame) -> int:
+    """What the files of a file source hold, summed in the engine: the driver asks for no single file."""
+    sizes = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
+    return int(sizes.groupBy("path").agg(F.max("size").alias("size")).agg(F.sum("size")).first()[0] or 0)
+
+
+def publish(fs, staged, final, kept) -> None:
+    """``staged`` takes the place of ``final``, which is kept aside until it has."""
+    if fs.exists(final):
+        if fs.exists(kept):
+            fs.delete(kept, True)
+        if not fs.rename(final, kept):
+            raise RuntimeError(f"compaction: {final} can't be put aside")
+    if not fs.rename(staged, final):
+        if fs.exists(kept):
+            fs.rename(kept, final)
+        raise RuntimeError(f"compaction: {final} can't be published")
+    fs.delete(kept, True)
+
+
 def _anti(files: DataFrame, drop: DataFrame) -> DataFrame:
     """``files`` without the paths of ``drop``: by broadcast while that list is small, else by shuffle."""
     few = drop.count() <= BROADCAST_ROWS
@@ -57,32 +81,32 @@ def compact(files: DataFrame, target: str | None = None, file_bytes: int = 128 <
 
     Splits are packed up to ``file_bytes`` with ``open_cost_bytes`` for opening a file, superfluous deliveries are left out,
     the number of output files follows from the size (``input_bytes``, by default the files' own) and is reached by
-    ``coalesce``, without a shuffle of the texts. What is written is staged, counted and checksummed against what should
-    be there, and only then moved to ``target``; a job that died leaves nothing there. Every record, null and blank texts
+    ``coalesce``. The texts aren't shuffled while the list of superfluous files is broadcast, up to ``BROADCAST_ROWS``; a longer one is
+    joined by a shuffle. What goes into the staged table is counted and checksummed on its way and compared with what is read back,
+    and only then takes the place of ``target``, which is put aside until then; a job that died leaves the table before it. Every record, null and blank texts
     included, is in the result exactly once and unchanged.
     """
     spark = files.sparkSession
     target = target or fresh_path(spark, "compacted")
     staging = f"{target}.staging"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    staged, final = hadoop.Path(staging), hadoop.Path(target)
+    staged, final, aside = hadoop.Path(staging), hadoop.Path(target), hadoop.Path(f"{target}.before")
     fs = staged.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(aside) and not fs.exists(final):  # an earlier job died between the two renames
+        fs.rename(aside, final)
     if input_bytes is None:
-        input_bytes = sum(fs.getFileStatus(hadoop.Path(p)).getLen() for p in files.inputFiles())
+        input_bytes = bytes_of(files)
     with split_packing(spark, file_bytes, open_cost_bytes):
         kept = _anti(files, superfluous_files(files))
         wanted = max(1, -(-input_bytes // file_bytes))
-        out = kept.coalesce(int(wanted))
-        out.write.mode("overwrite").parquet(staging)
+        seen = Observation("compacted")
+        kept.observe(seen, *_checks(files)).coalesce(int(wanted)).write.mode("overwrite").parquet(staging)
         written = spark.read.schema(files.schema).parquet(staging)
-        expected, found = content_check(kept), content_check(written)
+        expected, found = (seen.get["rows"], int(seen.get["sum"] or 0)), content_check(written)
     if expected != found:
         fs.delete(staged, True)
         raise RuntimeError(f"compaction: {found[0]} rows written, {expected[0]} expected, or their contents differ")
-    if fs.exists(final):
-        fs.delete(final, True)
-    if not fs.rename(staged, final):
-        raise RuntimeError(f"compaction: {target} can't be published")
+    publish(fs, staged, final, aside)
     return spark.read.schema(files.schema).parquet(target)
 
 
@@ -90,5 +114,3 @@ def adds_nothing(files: DataFrame) -> DataFrame:
     """``file_path`` of each file that isn't in the compacted table, compared by path after it was written and verified."""
     done = compact(files)
     return files.select("file_path").join(done.select("file_path"), "file_path", "left_anti")
-
-

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,20 +27,69 @@ def ambiguity(lexicon: DataFrame, table: DataFrame, kept: tuple[str, ...] = ("AD
 
 def trees(tokens: DataFrame) -> DataFrame:
     """``sentence_id, tree``: a sentence as one array of structs, in order."""
-    node = F.struct(F.col("index").cast("int").alias("index"), "form", "lemma", "pos", F.col("head").cast("int").alias("head"), "label")
-    return tokens.groupBy("sentence_id").agg(F.array_sort(F.collect_list(node)).alias("tree"))
+    plain = [F.col("index").cast("int").alias("index"), "form", "lemma", "pos", F.col("head").cast("int").alias("head"), "label"]
+    if "feats" not in tokens.columns:
+        return tokens.groupBy("sentence_id").agg(F.array_sort(F.collect_list(F.struct(*plain))).alias("tree"))
+    # Maps have no order, so they are put beside the tokens when these are sorted.
+    sortable = F.struct(*plain, F.col("feats").alias("feats"))
+    back = lambda t: F.struct(*[t[c].alias(c) for c in ("index", "form", "lemma", "pos", "head", "label")], F.str_to_map(t["feats"], F.lit(r"\|"), F.lit("=")).alias("feats"))
+    return tokens.groupBy("sentence_id").agg(F.transform(F.array_sort(F.collect_list(sortable)), back).alias("tree"))
+
+
+
+def column(tree, name: str):
+    """Forms, lemmas or tags of a sentence."""
+    return F.transform(tree, lambda t: t[name])
+
+
+def features(tree):
+    """The attributes of each token, joined."""
+    return F.transform(tree, lambda t: F.array_join(F.map_keys(t["feats"]), "-"))
 
 
 def children(tree, index):
     return F.filter(tree, lambda t: t["head"] == index)
 
 
-def path_to_root(heads: dict[int, int], index: int) -> list[int]:
-    path = []
-    while index and index not in path:
-        path.append(index)
-        index = heads.get(index, 0)
-    return path
+def head_of(tree, index):
+    """The token that a token hangs on; null for the root."""
+    own = F.get(F.filter(tree, lambda t: t["index"] == index), F.lit(0))
+    return F.get(F.filter(tree, lambda t: t["index"] == own["head"]), F.lit(0))
+
+
+def head_word(tree):
+    """The first token that hangs on the root; null if none does."""
+    return F.get(F.filter(tree, lambda t: t["head"] == 0), F.lit(0))
+
+
+def root_path(tree, index):
+    """The heads above a token, the nearest first, up to that which hangs on the root; a circle ends where it closes."""
+    step = lambda s, _: F.struct(
+        F.when((s["at"] != 0) & ~F.array_contains(s["path"], s["at"]), F.concat(s["path"], F.array(s["at"]))).otherwise(s["path"]).alias("path"),
+        F.coalesce(F.get(F.filter(tree, lambda t: t["index"] == s["at"]), F.lit(0))["head"], F.lit(0)).alias("at"),
+    )
+    first = F.coalesce(F.get(F.filter(tree, lambda t: t["index"] == index), F.lit(0))["head"], F.lit(0))
+    return F.aggregate(tree, F.struct(F.array().cast("array<int>").alias("path"), first.alias("at")), step)["path"]
+
+
+def with_token(tree, token):
+    """The sentence with one more token at its end."""
+    return F.concat(tree, F.array(token))
+
+
+def rendered(tree):
+    """A line a token: its index, form, tag, head and label."""
+    return F.array_join(F.transform(tree, lambda t: F.concat_ws("\t", t["index"].cast("string"), t["form"], t["pos"], t["head"].cast("string"), t["label"])), "\n")
+
+
+def tagged_by(tokens: DataFrame, tagger: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """The hook for an external tagger or parser: it gets batches of whole sentences, ``sentence_id, tree``, and gives rows of ``schema``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield tagger(batch)
+
+    return trees(tokens).mapInPandas(run, schema)
 
 
 def head_words(tree) -> object:

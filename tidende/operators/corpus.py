@@ -10,23 +10,30 @@ from pyspark.sql.window import Window
 
 from tidende.functions import text
 
-#: First day of the default range (a fixed value).
+#: First day of the reference range (a fixed value), for queries that ask for it.
 FIRST_DAY = "2014-01-01"
 
 
 def first_of_each(articles: DataFrame) -> DataFrame:
-    """Articles of equal day and id in their name once, the first by name; by a minimum before the shuffle, so copies are no hot group."""
+    """Articles of equal day and id in their name once, the first by name.
+
+    By a minimum over whole rows before the shuffle, so copies are no hot group; a ``doc_id`` stored several times gives the row first
+    delivered, by ``loaded_at`` and ``file_path`` where the table has them, then by its other columns.
+    """
     key = ["pub_date", "ext_id"]
-    first = articles.groupBy(*key).agg(F.min("doc_id").alias("doc_id"))
-    return first.join(articles.dropDuplicates(["doc_id"]).drop(*key), "doc_id")
+    order = ["doc_id", *[c for c in ("loaded_at", "file_path") if c in articles.columns]]
+    rest = [c for c in articles.columns if c not in key and c not in order]
+    late = [F.col(c).isNull().alias(f"no_{c}") for c in order[1:2]]
+    first = articles.groupBy(*key).agg(F.min(F.struct("doc_id", *late, *order[1:], *sorted(rest))).alias("x"))
+    return first.select(*[F.col(c) if c in key else F.col(f"x.{c}") for c in articles.columns])
 
 
-def in_range(articles: DataFrame, first: str = FIRST_DAY, last: str = "9999-12-31") -> DataFrame:
+def in_range(articles: DataFrame, first: str = "0001-01-01", last: str = "9999-12-31") -> DataFrame:
     return articles.where(F.col("pub_date").between(F.to_date(F.lit(first)), F.to_date(F.lit(last))))
 
 
-def slices(articles: DataFrame, resolution: str = "month", first: str = FIRST_DAY, last: str = "9999-12-31", legacy: bool = False) -> DataFrame:
-    """``doc_id, pub_date, slice, slice_start``: dense numbers of days, months or years that have documents.
+def slices(articles: DataFrame, resolution: str = "month", first: str = "0001-01-01", last: str = "9999-12-31", legacy: bool = False) -> DataFrame:
+    """``doc_id, pub_date, slice, slice_start``: dense numbers of days, months or years that have documents; undated articles and those outside the range are in none.
 
     The distinct slices are numbered, not the documents. ``legacy`` opens a slice only when the day, month or year field
     exceeds that of the slice's first document, so a new year doesn't open one by itself.
@@ -121,5 +128,6 @@ def distinct_sentences(sentences: DataFrame, threshold: float = 0.8) -> DataFram
 
 def sample(df: DataFrame, keys: list[str], group: list[str], k: int = 5, seed: int = 10) -> DataFrame:
     """``k`` rows of each group by a seeded hash of their keys, without replacement."""
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.xxhash64(F.lit(seed), *keys), *keys))
+    drawn = F.md5(F.concat_ws("\x1f", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary"))
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(drawn, *keys))
     return df.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")

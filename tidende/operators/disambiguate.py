@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import itertools
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tidende.operators import coherence as co
 
 Edge = tuple[str, str, str, float]
+Node = tuple[str, str]
 
 
 def mention_edges(scored: DataFrame, alpha: float = 0.45, beta: float = 0.45) -> DataFrame:
@@ -36,33 +38,48 @@ def weighted_degree(edges: DataFrame) -> DataFrame:
 def solve(mentions: list[str], edges: list[Edge]) -> dict[str, str | None]:
     """Greedy densest subgraph of ``kind, src, dst, weight``: the entity of least degree that no mention needs goes, until none is left;
     the graph with the greatest least degree decides. Ties go by name."""
-    graph: dict[tuple[str, str], dict[tuple[str, str], float]] = {("m", m): {} for m in mentions}
+    graph: dict[Node, dict[Node, float]] = {("m", m): {} for m in mentions}
     for kind, src, dst, weight in edges:
         a, b = ("m" if kind == "mention" else "e", src), ("e", dst)
         if a == b:
             continue
         graph.setdefault(a, {})[b] = weight
         graph.setdefault(b, {})[a] = weight
-
-    def least(g: dict) -> float:
-        return min((sum(n.values()) for n in g.values() if n), default=0.0)
-
-    def needed(g: dict) -> set:
-        return {e[0] for node, n in g.items() if node[0] == "m" and len(e := [x for x in n if x[0] == "e"]) == 1}
-
-    best, most = {k: dict(v) for k, v in graph.items()}, least(graph)
-    kept = needed(graph)
-    while free := [e for e in graph if e[0] == "e" and e not in kept]:
-        gone = min(free, key=lambda e: (sum(graph[e].values()), e[1]))
-        for other in graph.pop(gone):
-            del graph[other][gone]
-        kept |= needed(graph)
-        if (now := least(graph)) > most:
-            best, most = {k: dict(v) for k, v in graph.items()}, now
+    degree = {node: sum(near.values()) for node, near in graph.items()}
+    live = {node for node, near in graph.items() if near}
+    alone = {next(iter(near)) for node, near in graph.items() if node[0] == "m" and len(near) == 1}
+    # Entities by their degree; an entry is stale once the degree has changed.
+    heap = [(degree[e], e[1]) for e in graph if e[0] == "e"]
+    heapq.heapify(heap)
+    order: list[Node] = []
+    gone: set[Node] = set()
+    best, most = 0, min((degree[x] for x in live), default=0.0)
+    while heap:
+        d, name = heapq.heappop(heap)
+        e = ("e", name)
+        if e in gone or e in alone or d != degree[e]:
+            continue
+        gone.add(e)
+        order.append(e)
+        live.discard(e)
+        for other, weight in graph[e].items():
+            if other in gone:
+                continue
+            left = [x for x in graph[other] if x not in gone]
+            degree[other] = sum(graph[other][x] for x in left)
+            if not left:
+                live.discard(other)
+            if other[0] == "e":
+                heapq.heappush(heap, (degree[other], other[1]))
+            elif len(left) == 1:
+                alone.add(left[0])
+        if (now := min((degree[x] for x in live), default=0.0)) > most:
+            best, most = len(order), now
+    dropped = set(order[:best])
     out: dict[str, str | None] = {}
     for m in mentions:
-        options = {e[1]: w for e, w in best[("m", m)].items()}
-        out[m] = min(options, key=lambda e: (-options[e], e)) if options else None
+        kept = {e[1]: w for e, w in graph["m", m].items() if e not in dropped}
+        out[m] = min(kept, key=lambda e: (-kept[e], e)) if kept else None
     return out
 
 

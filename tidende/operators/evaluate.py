@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,14 +15,39 @@ def multiset_matches(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     return both.withColumn("matched", F.least("gold", "predicted"))
 
 
+def partial_matches(rows: list[tuple[str, int, int, int]]) -> tuple[int, int, int]:
+    """Matched, missed and left-over words of one document, of rows ``mention, gold, predicted, matched`` in order."""
+    matched = sum(n * len(key.split(" ")) for key, _, _, n in rows)
+    missed = sum((g - n) * len(key.split(" ")) for key, g, _, n in rows)
+    left = [key for key, _, p, n in rows for _ in range(p - n)]
+    for key, g, _, _ in rows:
+        for _ in range(g):
+            for i, other in enumerate(left):
+                if key in other:
+                    rest = left.pop(i).replace(key, "")
+                    if any(c.isalpha() for c in rest):
+                        left.append(rest)
+                    matched, missed = matched + 1, missed - 1
+                    break
+    return matched, missed, sum(len(x.split(" ")) for x in left)
+
+
 def recognition(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """One row: precision and recall, strict and by words, and counts of the predictions' documents."""
+    """One row: precision and recall, strict and partial, and counts of the predictions' documents.
+
+    Partial: a strict match counts as many words as it has. Then each gold mention, in order, that stands inside a prediction left over uses
+    that up, the first by name; letters that remain of it are a prediction again. Such a match counts one, what is left its words.
+    """
     m = multiset_matches(gold, predicted)
-    words = F.size(F.split("key", " "))
-    sums = m.agg(
-        F.sum("matched").alias("matched"), F.sum("gold").alias("gold"), F.sum("predicted").alias("predicted"),
-        F.sum(F.col("matched") * words).alias("matched_words"), F.sum(F.col("gold") * words).alias("gold_words"), F.sum(F.col("predicted") * words).alias("predicted_words"),
-    )
+    sums = m.agg(F.sum("matched").alias("matched"), F.sum("gold").alias("gold"), F.sum("predicted").alias("predicted"))
+    rows = m.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("key", "gold", "predicted", "matched"))).alias("rows"))
+
+    @F.pandas_udf("matched long, missed long, excess long")
+    def partial(batch: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([partial_matches([(x["key"], int(x["gold"]), int(x["predicted"]), int(x["matched"])) for x in rows]) for rows in batch], columns=["matched", "missed", "excess"])
+
+    loose = rows.select(partial("rows").alias("p")).agg(F.sum("p.matched").alias("matched_words"), F.sum(F.col("p.matched") + F.col("p.missed")).alias("gold_words"), F.sum(F.col("p.matched") + F.col("p.excess")).alias("predicted_words"))
+    sums = sums.join(loose)
     per = predicted.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct(F.lower("mention")).alias("d")).agg(F.avg("n").alias("mentions_per_doc"), F.stddev_pop("n").alias("mentions_std"), F.avg("d").alias("distinct_per_doc"))
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     return sums.join(per).select("matched", "gold", "predicted", ratio("matched", "predicted").alias("precision"), ratio("matched", "gold").alias("recall"), ratio("matched_words", "predicted_words").alias("word_precision"), ratio("matched_words", "gold_words").alias("word_recall"), "mentions_per_doc", "mentions_std", "distinct_per_doc")
@@ -49,6 +75,6 @@ def case_statistics(articles: DataFrame, disambiguations: DataFrame) -> DataFram
 
 
 def restored_order(found: DataFrame, mentions: DataFrame) -> DataFrame:
-    """``doc_id, pos, mention, entity``: results in the order of the document, the first match of each mention."""
-    first = found.groupBy("doc_id", F.lower("mention").alias("key")).agg(F.min("entity").alias("entity"))
+    """``doc_id, pos, mention, entity``: results in the order of the document, the first match of each mention; ``found`` has the ``pos`` it was found at."""
+    first = found.groupBy("doc_id", F.lower("mention").alias("key")).agg(F.min(F.struct("pos", "entity"))["entity"].alias("entity"))
     return mentions.select("doc_id", "pos", "mention", F.lower("mention").alias("key")).join(first, ["doc_id", "key"], "left").select("doc_id", "pos", "mention", "entity")

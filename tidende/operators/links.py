@@ -85,6 +85,12 @@ def keyphrases(references: DataFrame, cats: DataFrame, anchors: DataFrame, inlin
     return out.where(F.trim("keyphrase") != "").distinct()
 
 
+def possibilities(mentions: DataFrame, pages: DataFrame) -> DataFrame:
+    """``mention, target``: the articles that links with the mention as their text lead to."""
+    anchors = article_links(pages).select("anchor", "target").distinct()
+    return mentions.select("mention").distinct().join(anchors, F.lower(F.trim("mention")) == F.col("anchor")).select("mention", "target").distinct()
+
+
 def foreign_keyphrases(inlink: DataFrame, anchors: DataFrame) -> DataFrame:
     """``entity, keyphrase``: anchor texts of the entities that link to an entity; ``inlink`` is ``entity, source``."""
     return inlink.join(anchors.select(F.col("entity").alias("source"), "keyphrase"), "source").select("entity", "keyphrase").distinct()

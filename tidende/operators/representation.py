@@ -101,6 +101,11 @@ def surface_forms(disambiguations: DataFrame) -> DataFrame:
     return disambiguations.where((F.col("kb") == "w") & F.col("entity").isNotNull() & F.col("mention").isNotNull()).select("entity", F.trim("mention").alias("mention")).distinct()
 
 
+def reversed_table(df: DataFrame, key: str, value: str) -> DataFrame:
+    """``value``, and the keys that had it, in order and each once."""
+    return df.groupBy(value).agg(F.array_sort(F.collect_set(key)).alias(key))
+
+
 def inverted_index(documents: DataFrame) -> DataFrame:
     """``term, doc_id, tf, length``: postings with the length of their document."""
     bow = bag_of_words(documents).withColumnRenamed("token", "term")

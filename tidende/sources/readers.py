@@ -13,16 +13,26 @@ from tidende.functions import dates, text
 
 @dataclass(frozen=True)
 class Paths:
-    """Where the corpora are; given by the caller, never read from a file with credentials."""
+    """Where the corpora are; given by the caller, or one a line in this order, as ``read_paths`` takes them."""
 
     root: str = ""
     news: str = ""
     entities: str = ""
+    external: str = ""
     wikipedia: str = ""
     annotated: str = ""
     processed_news: str = ""
     disambiguated: str = ""
-    external: str = ""
+
+
+def read_paths(lines: list[str]) -> Paths:
+    """The eight folders of a configuration's lines, blanks off; missing ones are empty."""
+    return Paths(*[x.strip() for x in lines[:8]])
+
+
+def read_abbreviations(spark: SparkSession, path: str) -> DataFrame:
+    """``abbr``: one a line, blanks off, repeats and empty lines left out."""
+    return spark.read.text(path).select(F.trim("value").alias("abbr")).where(F.col("abbr") != "").distinct()
 
 
 def _file_name():

@@ -31,6 +31,12 @@ def snap_edges(edges: DataFrame) -> DataFrame:
     return both.select("src", "dst", F.concat_ws("\t", "src", "dst").alias("line"))
 
 
+def node_labels(edges: DataFrame, terms: DataFrame) -> DataFrame:
+    """``id, label, line`` of the nodes that have an edge; ``terms`` is ``id, label``."""
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return terms.join(nodes, "id", "left_semi").select("id", "label", F.concat_ws("\t", F.col("id").cast("string"), "label").alias("line"))
+
+
 def ranked_lines(ranked: DataFrame) -> DataFrame:
     return ranked.select("doc_id", F.concat(F.col("rank"), F.lit("\t["), F.array_join("lemmas", ", "), F.lit("]")).alias("line"))
 
@@ -54,6 +60,14 @@ def metro_map_lines(stations: DataFrame) -> DataFrame:
     return stations.select("station_date", "cluster_id", F.concat(head, numbered, date, F.array(F.size(names).cast("string")), names).alias("lines"))
 
 
+def metro_map_text(stations: DataFrame) -> DataFrame:
+    """``line_no, line``: the whole map as lines, the number of stations first, then the stations by day; a map is a few stations of each day."""
+    lines = metro_map_lines(stations).withColumn("k", F.row_number().over(Window.orderBy("station_date", "cluster_id")))
+    head = lines.agg(F.count("*").alias("n")).select(F.lit(0).alias("k"), F.lit(0).alias("i"), F.col("n").cast("string").alias("line"))
+    rows = head.unionByName(lines.select("k", F.posexplode("lines").alias("i", "line")))
+    return rows.select((F.row_number().over(Window.orderBy("k", "i")) - 1).alias("line_no"), "line")
+
+
 def conll09_lines(tokens: DataFrame) -> DataFrame:
     """Tokens of the older format in the columns of the newer one, blank ones as underscores."""
     feat = F.concat(F.lit("pos="), F.replace("pos", F.lit("="), F.lit("_")))
