@@ -187,7 +187,7 @@ def token_sentences(tokens: Column) -> Column:
 
     flags = F.transform(tokens, lambda t, i: F.when(cut(t, i), i))
     ends = F.concat(F.filter(flags, lambda x: x.isNotNull()), F.array(F.size(tokens) - 1))
-    return F.transform(ends, lambda e, k: F.slice(tokens, F.when(k == 0, 1).otherwise(F.get(ends, k - 1) + 2), e - F.when(k == 0, -1).otherwise(F.get(ends, k - 1))))
+    return F.when(F.size(tokens) == 0, F.array().cast("array<array<string>>")).otherwise(F.transform(ends, lambda e, k: F.slice(tokens, F.when(k == 0, 1).otherwise(F.get(ends, k - 1) + 2), e - F.when(k == 0, -1).otherwise(F.get(ends, k - 1)))))
 
 
 def holds_all(a: Column, b: Column) -> Column:

@@ -32,6 +32,25 @@ def partial_matches(rows: list[tuple[str, int, int, int]]) -> tuple[int, int, in
     return matched, missed, sum(len(x.split(" ")) for x in left)
 
 
+def partial_sums(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """One row, ``matched_words, gold_words, predicted_words``, by ``partial_matches`` of each document."""
+    rows = multiset_matches(gold, predicted).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("key", "gold", "predicted", "matched"))).alias("rows"))
+
+    @F.pandas_udf("matched long, missed long, excess long")
+    def partial(batch: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([partial_matches([(x["key"], int(x["gold"]), int(x["predicted"]), int(x["matched"])) for x in rows]) for rows in batch], columns=["matched", "missed", "excess"])
+
+    return rows.select(partial("rows").alias("p")).agg(F.sum("p.matched").alias("matched_words"), F.sum(F.col("p.matched") + F.col("p.missed")).alias("gold_words"), F.sum(F.col("p.matched") + F.col("p.excess")).alias("predicted_words"))
+
+
+def without_prefixes(gold: DataFrame, bad: list[str]) -> DataFrame:
+    """Gold mentions without those whose entity begins with a bad prefix."""
+    out = gold
+    for prefix in bad:
+        out = out.where(F.col("entity").isNull() | ~F.col("entity").startswith(prefix))
+    return out
+
+
 def recognition(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """One row: precision and recall, strict and partial, and counts of the predictions' documents.
 
@@ -40,14 +59,7 @@ def recognition(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """
     m = multiset_matches(gold, predicted)
     sums = m.agg(F.sum("matched").alias("matched"), F.sum("gold").alias("gold"), F.sum("predicted").alias("predicted"))
-    rows = m.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("key", "gold", "predicted", "matched"))).alias("rows"))
-
-    @F.pandas_udf("matched long, missed long, excess long")
-    def partial(batch: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([partial_matches([(x["key"], int(x["gold"]), int(x["predicted"]), int(x["matched"])) for x in rows]) for rows in batch], columns=["matched", "missed", "excess"])
-
-    loose = rows.select(partial("rows").alias("p")).agg(F.sum("p.matched").alias("matched_words"), F.sum(F.col("p.matched") + F.col("p.missed")).alias("gold_words"), F.sum(F.col("p.matched") + F.col("p.excess")).alias("predicted_words"))
-    sums = sums.join(loose)
+    sums = sums.join(partial_sums(gold, predicted))
     per = predicted.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct(F.lower("mention")).alias("d")).agg(F.avg("n").alias("mentions_per_doc"), F.stddev_pop("n").alias("mentions_std"), F.avg("d").alias("distinct_per_doc"))
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     return sums.join(per).select("matched", "gold", "predicted", ratio("matched", "predicted").alias("precision"), ratio("matched", "gold").alias("recall"), ratio("matched_words", "predicted_words").alias("word_precision"), ratio("matched_words", "gold_words").alias("word_recall"), "mentions_per_doc", "mentions_std", "distinct_per_doc")
@@ -55,9 +67,7 @@ def recognition(gold: DataFrame, predicted: DataFrame) -> DataFrame:
 
 def accuracy(gold: DataFrame, predicted: DataFrame, bad_prefixes: list[str] | None = None) -> DataFrame:
     """One row, ``n, correct, accuracy``: over gold mentions with a prediction; nulls agree with nulls; gold entities of bad prefixes are left out."""
-    g = gold
-    for prefix in bad_prefixes or []:
-        g = g.where(F.col("entity").isNull() | ~F.col("entity").startswith(prefix))
+    g = without_prefixes(gold, bad_prefixes or [])
     p = predicted.groupBy("doc_id", F.lower("mention").alias("key")).agg(F.max("entity").alias("found"))
     j = g.withColumn("key", F.lower("mention")).join(p, ["doc_id", "key"])
     ok = F.coalesce(F.lower("entity").eqNullSafe(F.lower("found")), F.lit(False))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidende.io import materialize, table
 from tidende.operators import coherence as co
@@ -181,16 +182,21 @@ def npmi_weights(spark, sf):
     return similarity.npmi_weights(similarity.keyphrase_words(_keyphrases(spark, sf)), _inlinks(spark, sf)).withColumn("weight", F.round("weight", 6))
 
 
+#: Stop words of keyphrases.
+STOP = ["i", "og", "af", "den", "det", "en", "et", "for", "fra", "på", "til"]
+
+
 def _scored(spark, sf):
-    phrases = similarity.keyphrase_words(_keyphrases(spark, sf))
+    phrases = similarity.without_stop_words(similarity.keyphrase_words(_keyphrases(spark, sf)), STOP)
     inlink = _inlinks(spark, sf)
-    found = _candidates(spark, sf)
+    p = _prior(spark, sf)
+    found = prior.genitive_names(prior.genitive_fallback(prior.candidates(mentions(spark, sf), p), p), p)
     # Only the candidates' keyphrases matter.
     wanted = found.where(F.col("entity").isNotNull()).select("entity").distinct()
     own = materialize(phrases.join(wanted, "entity", "left_semi"), "keyphrases")
     weights = similarity.npmi_weights(own, inlink.join(wanted, "entity", "left_semi"))
     sure, rest = prior.short_circuit(found)
-    scores = similarity.normalised(similarity.similarity_scores(rest, articles(spark, sf), own, weights))
+    scores = similarity.normalised(similarity.similarity_scores(rest, articles(spark, sf), own, weights, STOP))
     return sure.unionByName(rest.join(scores, ["doc_id", "mention", "entity"]))
 
 
@@ -242,7 +248,7 @@ def case_statistics(spark, sf):
     return out.select("docs", "recognitions", "resolutions", *[F.round(c, 6).alias(c) for c in ("words_per_doc", "rec_per_doc", "dis_per_doc")], "distinct_mentions", "distinct_entities")
 
 
-@P.query(f"WITH {MENTIONS} SELECT m.doc_id, m.pos, m.mention, f.entity FROM men m LEFT JOIN (SELECT doc_id, lower(mention) AS key, min(entity) AS entity FROM men GROUP BY ALL) f ON f.doc_id = m.doc_id AND f.key = lower(m.mention)")
+@P.query(f"WITH {MENTIONS} SELECT m.doc_id, m.pos, m.mention, f.entity FROM men m LEFT JOIN (SELECT doc_id, key, entity FROM (SELECT doc_id, lower(mention) AS key, entity, row_number() OVER (PARTITION BY doc_id, lower(mention) ORDER BY pos, encode(entity) NULLS FIRST) AS k FROM men) WHERE k = 1) f ON f.doc_id = m.doc_id AND f.key = lower(m.mention)")
 def restored_order(spark, sf):
     m = mentions(spark, sf)
     return evaluate.restored_order(m, m)
@@ -258,15 +264,28 @@ def undecided_mentions(spark, sf):
     return readers.undecided(mentions(spark, sf)).groupBy("mention").agg(F.count("*").alias("n"))
 
 
-@P.query()
+@P.query(
+    f"""WITH {MENTIONS}, d AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos, encode(mention)) AS INT) AS pos, mention FROM men),
+n AS (SELECT a.doc_id, a.pos, a.mention, b.mention AS near, row_number() OVER (PARTITION BY a.doc_id, a.pos ORDER BY abs(b.pos - a.pos), b.pos) AS k, len(string_split(b.mention, ' ')) AS size FROM d a JOIN d b ON a.doc_id = b.doc_id AND a.pos <> b.pos AND abs(a.pos - b.pos) <= 10),
+s AS (SELECT *, len(string_split(mention, ' ')) + sum(size) OVER (PARTITION BY doc_id, pos ORDER BY k) AS words FROM n), c AS (SELECT doc_id, pos, list(near ORDER BY k) AS context FROM s WHERE words <= 32 AND k <= 10 GROUP BY doc_id, pos)
+SELECT doc_id, pos, mention, concat_ws(' ', '"' || mention || '"', array_to_string(list_transform(coalesce(context, []), lambda m: '"' || m || '"'), ' OR '), 'site:example.org/in OR site:example.org/company') AS query FROM d LEFT JOIN c USING (doc_id, pos)"""
+)
 def neighbor_context(spark, sf):
     """Search strings of mentions with those around them."""
     return web.queries(mentions(spark, sf).select("doc_id", "pos", "mention"), ["example.org/in", "example.org/company"])
 
 
-@P.query()
+@P.query(
+    f"""WITH {MENTIONS}, r AS (SELECT mention, page_title, row_number() OVER (PARTITION BY mention ORDER BY count(*) DESC, encode(page_title)) AS rank FROM priors WHERE page_title IS NOT NULL AND trim(mention) <> '' GROUP BY mention, page_title),
+t AS (SELECT mention, rank, list_filter(string_split(replace(lower(page_title), ' ', '-'), '-'), lambda w: w <> '') AS w, list_filter(regexp_split_to_array(lower(mention), '[\\s-]+'), lambda w: w <> '') AS p FROM r WHERE rank <= 3),
+h AS (SELECT mention, rank, array_to_string(w, '-') AS slug, len(list_filter(p, lambda x: len(list_filter(w, lambda y: x = y OR regexp_replace(x, 's$', '') = regexp_replace(y, 's$', ''))) > 0)) AS matches FROM t),
+b AS (SELECT lower(mention) AS key, CASE WHEN matches > 0 OR lower(mention[1]) = slug[1] THEN slug END AS slug FROM (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY matches DESC, rank) AS k FROM h) WHERE k = 1),
+f AS (SELECT key, min(slug) AS slug FROM b WHERE slug IS NOT NULL GROUP BY key)
+SELECT doc_id, pos, mention, CASE WHEN entity IS NULL AND slug IS NOT NULL THEN 'l' ELSE kb END AS kb, CASE WHEN entity IS NULL AND slug IS NOT NULL THEN slug ELSE entity END AS entity FROM men LEFT JOIN f ON lower(mention) = key"""
+)
 def slug_policy(spark, sf):
-    """Undecided mentions resolved by a table of profile addresses, made of the mentions themselves."""
-    m = mentions(spark, sf)
-    url = F.concat(F.lit("https://example.org/in/"), F.replace(F.lower(F.trim("mention")), F.lit(" "), F.lit("-")))
-    return web.resolved(m, m.select("mention").distinct().select("mention", F.lit(1).alias("rank"), url.alias("url")))
+    """Undecided mentions resolved by search results: the pages on which a mention is used most, as profile addresses."""
+    uses = table(spark, sf, "priors").where(F.col("page_title").isNotNull() & (F.trim("mention") != "")).groupBy("mention", "page_title").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("mention").orderBy(F.desc("n"), "page_title"))
+    url = F.concat(F.lit("https://example.org/in/"), F.replace(F.lower("page_title"), F.lit(" "), F.lit("-")))
+    return web.resolved(mentions(spark, sf), uses.select("mention", rank.alias("rank"), url.alias("url")))

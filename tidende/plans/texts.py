@@ -131,14 +131,36 @@ def top_terms(spark, sf):
     return sinks.top_terms(bow).select(F.col("cluster_id").alias("doc_id"), "term", F.col("weight").alias("tf"), "rank")
 
 
-@P.query()
+_ENDS = "['', 'e', 'else', 'en', 'er', 'et', 'ende', 'ene', 'erne', 'es', 'i', 'ing', 'is', 'isme', 's', 'ske', 'n', 'ne', 'ning', 'h', 'hed']"
+
+
+@P.query(
+    rf"""WITH {MENTIONS}, named AS (SELECT mention FROM men WHERE entity IS NULL UNION ALL SELECT split_part(mention, ' ', 1) || 's' FROM men WHERE entity IS NULL AND pos % 2 = 0 UNION ALL SELECT split_part(mention, ' ', 1) FROM men WHERE entity IS NULL AND pos % 3 = 0),
+c AS (SELECT lower(trim(mention)) AS mention, count(*) AS n FROM named GROUP BY 1), w AS (SELECT mention, n, regexp_split_to_array(replace(mention, '-', ' '), '\s+') AS w FROM c),
+r AS (SELECT DISTINCT mention, n, array_to_string(w[i:j], ' ') AS run FROM (SELECT *, unnest(range(i, len(w) + 1)) AS j FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM w))),
+s AS (SELECT DISTINCT mention, n, left(run, len(run) - len(e)) AS stem FROM (SELECT *, unnest({_ENDS}) AS e FROM r) WHERE e = '' OR (ends_with(run, e) AND len(run) > len(e) + 2)),
+f AS (SELECT s.mention, s.n, c.mention AS base, row_number() OVER (PARTITION BY s.mention ORDER BY len(c.mention), c.n DESC, encode(c.mention)) AS k FROM s JOIN c ON s.stem = replace(c.mention, '-', ' ')),
+v AS (SELECT mention, base AS canonical, n FROM f WHERE k = 1), g AS (SELECT canonical, string_agg('*r.' || mention, '' ORDER BY n DESC, encode(mention)) AS name FROM v GROUP BY canonical HAVING count(*) > 1)
+SELECT mention, canonical, n, name FROM v LEFT JOIN g USING (canonical)"""
+)
 def entity_canonicalize(spark, sf):
     """Variants of recognised names, and their concatenated name."""
-    found = entities.variants(mentions(spark, sf).where(F.col("entity").isNull()).select("mention"))
+    m = mentions(spark, sf).where(F.col("entity").isNull())
+    # Single names, and names in the genitive, beside the whole ones.
+    first = F.split_part("mention", F.lit(" "), F.lit(1))
+    more = m.where("pos % 2 = 0").select(F.concat(first, F.lit("s")).alias("mention")).unionByName(m.where("pos % 3 = 0").select(first.alias("mention")))
+    found = entities.variants(m.select("mention").unionByName(more))
     return found.join(entities.concatenated(found), "mention", "left")
 
 
-@P.query()
+_TOKENS = r"""ab AS (SELECT string_agg(regexp_replace(abbr, '([^\p{L}\p{N}])', '\\\1', 'g'), '|' ORDER BY len(abbr) DESC, encode(abbr)) AS a FROM abbreviations WHERE abbr IS NOT NULL),
+tk AS (SELECT doc_id, regexp_extract_all(text, a || '|(?:[a-z]+://)?(?:[\p{L}\p{N}_\-]+\.)+\p{L}{2,}(?:/[^\s,;]*)?|' || chr(39) || 's|[^\s\x0B\p{Pd}\p{Ps}\p{Pe}\p{Pi}\p{Pf}\p{Po}\p{S}]+|[^\s\x0B]') AS t FROM arts, ab),
+pos AS (SELECT doc_id, i, t[i] AS tok, t[i + 1] AS after, t[i + 2] AS later, len(t) AS n FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM tk)),
+fl AS (SELECT *, (tok = '.' OR (tok IN ('?', '!', '...') AND (coalesce(regexp_matches(after, '^\p{Lu}'), false) OR (coalesce(after, '') IN ('"', chr(39), '»', '«', '”', '“') AND coalesce(regexp_matches(later, '^\p{Lu}'), false))))) AND i > 1 AND i < n AS cut FROM pos),
+gr AS (SELECT *, coalesce(sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent_no FROM fl)"""
+
+
+@P.query(f"WITH {ARTS}, {_TOKENS} SELECT doc_id, CAST(sent_no AS INT) AS sent_no, list(tok ORDER BY i) AS tokens FROM gr GROUP BY doc_id, sent_no")
 def danish_tokens(spark, sf):
     """Tokens by first matching pattern, grouped to sentences."""
     abbr = [r.abbr for r in table(spark, sf, "abbreviations").where(F.col("abbr").isNotNull()).collect()]
