@@ -74,7 +74,7 @@ def values(df):
 def test_defined_results(spark):
     make = lambda t: spark.createDataFrame(t[1], t[0])
     assert values(distinctive.most_distinctive(make(TERMS))) == [("a", "hus"), ("d", "bil"), ("e", "ord")]
-    assert values(ngrams.term_statistics(make(TERMS))) == [("bil", 1, 2, 2), ("hus", 1, 3, 2), ("ord", 1, 300_000, 1)]
+    assert values(ngrams.term_statistics(make(TERMS), 1)) == [("bil", 1, 2, 2), ("hus", 1, 3, 2), ("ord", 1, 300_000, 1)]
     assert values(neardup.alike_documents(make(DOCS))) == [("a", "f")]
     assert values(names.variant_pairs(make(PRIORS))) == [("Anna Hansen", "anna hansen")]
     found = sentences.sentences(make(DOCS), make(ABBR)).where("doc_id in ('a', 'b', 'c', 'd')")

@@ -40,16 +40,24 @@ def test_probabilities_choose_the_candidates(spark):
     assert row[0] < 0.9 * row[1] and row[2] > 0.95, row
 
 
-def test_suffix_counts_against_counters():
+@pytest.mark.parametrize("share", [2, 2_000_000])
+def test_suffix_counts_against_counters(spark, monkeypatch, share):
+    """All n-grams of all lengths; with the smaller share hardly a term is hot, with the larger one all are."""
+    monkeypatch.setattr(ngrams, "HOT_SHARE", share)
     rng = random.Random(1)
-    docs = [np.array([rng.choice("abcd") for _ in range(rng.randint(0, 30))], dtype=object) for _ in range(20)]
+    docs = [[rng.choice("abcd" if k % 3 else "ab") for _ in range(rng.randint(0, 30))] for k in range(20)]
+    docs += [docs[3], docs[3], ["x", *docs[3][:9], "y"], ["z"] * 12, ["z"] * 7, ["p", "q"] * 8]
     tf, df = Counter(), Counter()
     for doc in docs:
-        grams = [ngrams.SEP.join(doc[i : i + n]) for n in (1, 2, 3) for i in range(len(doc) - n + 1)]
+        grams = [ngrams.SEP.join(doc[i : i + n]) for n in range(1, len(doc) + 1) for i in range(len(doc) - n + 1)]
         tf.update(grams)
         df.update(set(grams))
-    g, n, t, d = ngrams.ngram_counts(docs, 3)
-    assert dict(zip(g, t, strict=True)) == tf and dict(zip(g, d, strict=True)) == df and max(n) == 3
+    table = spark.createDataFrame([(f"d{k}", d, None) for k, d in enumerate(docs)], "doc_id string, terms array<string>, run_at timestamp_ntz")
+    rows = ngrams.term_statistics(table).collect()
+    assert len(rows) == len(tf)
+    assert {r.ngram: r.tf for r in rows} == tf and {r.ngram: r.df for r in rows} == df
+    assert all(r.n == r.ngram.count(ngrams.SEP) + 1 for r in rows)
+    assert {(r.term, r.tf) for r in ngrams.marked_terms(table).collect()} == {(g, n) for g, n in tf.items() if ngrams.SEP not in g}
 
 
 def brute(bits, sizes, shard, ratio):

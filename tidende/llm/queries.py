@@ -77,8 +77,13 @@ def p7_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_ngrams(spark: SparkSession, sf: str) -> DataFrame:
-    """Counts of all n-grams of up to three terms."""
-    return ngrams.term_statistics(table(spark, sf, "doc2terms"), 3).select(F.translate("ngram", ngrams.SEP, "|").alias("ngram"), "n", "tf", "df")
+    """The n-grams that occur more than once, of up to eight terms, written out."""
+    return ngrams.term_statistics(table(spark, sf, "doc2terms"), 8, 2).select(F.translate("ngram", ngrams.SEP, "|").alias("ngram"), "n", "tf", "df")
+
+
+def p7_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """All n-grams, of any length, in classes of equal occurrences."""
+    return ngrams.ngram_classes(table(spark, sf, "doc2terms")).select("record", "start", "n_min", "n_max", "tf", "df")
 
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,7 +114,7 @@ def p10_segments(spark: SparkSession, sf: str) -> DataFrame:
     return language.detect(table(spark, sf, "documents"), table(spark, sf, "language_names"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_weights, p2_found, p2_restored, p4_found, p4_groups, p5_found, p5_sentences, p6_found, p6_names, p7_found, p7_terms, p7_ngrams, p8_ids, p9_mix, p9_shares, p9_overlap, p10_found, p10_segments)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_weights, p2_found, p2_restored, p4_found, p4_groups, p5_found, p5_sentences, p6_found, p6_names, p7_found, p7_terms, p7_ngrams, p7_classes, p8_ids, p9_mix, p9_shares, p9_overlap, p10_found, p10_segments)}
 
 SQL = {
     "p1_found": f"""WITH {_LATEST},
@@ -125,6 +130,11 @@ p AS (SELECT a.k, b.k AS l, any_value(a.doc_id) AS x, any_value(b.doc_id) AS y,
 SELECT DISTINCT x AS doc_id_a, y AS doc_id_b FROM p WHERE encode(x) < encode(y) AND c >= 0.5 * (na + nb - c)""",
     "p7_found": f"""WITH {_LATEST}
 SELECT term, CASE WHEN df < 3 THEN 'rare' ELSE 'common' END AS mark FROM df, n WHERE df < 3 OR df > 0.25 * n""",
+    "p7_ngrams": r"""WITH latest AS (
+  SELECT doc_id, list_filter(list_transform(terms, lambda t: lower(trim(nfc_normalize(t), ' ' || chr(9) || chr(10) || chr(13) || chr(160)))), lambda t: t IS NOT NULL AND t <> '') AS w FROM (
+    SELECT doc_id, terms, row_number() OVER (PARTITION BY doc_id ORDER BY run_at DESC NULLS LAST, terms DESC NULLS LAST) AS k FROM doc2terms WHERE doc_id IS NOT NULL) WHERE k = 1),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM latest), g AS (SELECT doc_id, w, i, unnest(range(1, least(8, len(w) - i + 1) + 1)) AS n FROM places)
+SELECT array_to_string(w[i:i + n - 1], '|') AS ngram, n::INT AS n, count(*) AS tf, count(DISTINCT doc_id) AS df FROM g GROUP BY 1, 2 HAVING count(*) > 1""",
     "p7_terms": f"""WITH {_LATEST}
 SELECT term, occurrences::BIGINT AS tf, df, CASE WHEN df < 3 THEN 'rare' WHEN df > 0.25 * n THEN 'common' END AS mark FROM df, n""",
 }
