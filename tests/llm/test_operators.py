@@ -145,6 +145,16 @@ def test_names_against_resolved_links(spark):
     assert both / pairs(got.groupby("id").size()) > 0.97 and both / pairs(got.groupby("entity").size()) > 0.9
 
 
+def test_tokens_in_any_order(spark):
+    rows = [("Anna Munk Dalhøj", 5), ("Dalhøj Munk Anna", 1), ("Munk Dalhøj Anna", 1), ("Munk Anna Dalhøj", 2), ("Anna Dalhøj", 3), ("Bo Dalhøj", 4), ("Anna Kær", 4), ("Bo Kær", 3)]
+    p = spark.createDataFrame([(m, None) for m, n in rows for _ in range(n)], "mention string, entity string")
+    names_of = {r.mention: (r.key, r.name) for r in names.linked_names(p).collect()}
+    assert {names_of[m] for m, _ in rows[:4]} == {("dalhøj", "anna")}
+    pairs = {tuple(r) for r in names.variant_pairs(p).collect()}
+    four = sorted(m for m, _ in rows[:4])
+    assert {(a, b) for a in four for b in four if a < b} <= pairs and ("Bo Dalhøj", "Bo Kær") not in pairs
+
+
 def test_tokenizer_against_the_public_library():
     lib = pytest.importorskip("tokenizers")
     path = f"{tokenizer.TOKENIZERS}/byte_bpe_50k.json"

@@ -141,12 +141,21 @@ def distinct_mentions(priors: DataFrame) -> DataFrame:
 def without_titles(m: DataFrame) -> DataFrame:
     """Leading titles off: the fixed ones, and those learned: a first token without which three names or more are names too."""
     plain = m.where(F.size("toks") >= 2).select(F.concat_ws(" ", "toks").alias("name")).distinct()
-    led = m.where(F.size("toks") >= 3).select(F.get("toks", F.lit(0)).alias("title"), F.concat_ws(" ", F.slice("toks", 2, 99)).alias("name")).distinct()
+    led = m.where(F.size("toks") >= 3).select(F.get("toks", F.lit(0)).alias("title"), F.concat_ws(" ", F.slice("toks", 2, F.size("toks"))).alias("name")).distinct()
     learned = led.join(plain, "name", "left_semi").groupBy("title").agg(F.count("*").alias("n")).where(F.col("n") >= 3).select("title")
     bare = F.regexp_replace(F.get("toks", F.lit(0)), r"\.$", "")
     flagged = m.join(learned.withColumn("is_title", F.lit(True)), F.get("toks", F.lit(0)) == F.col("title"), "left")
     off = (F.size("toks") >= 3) & (bare.isin(*TITLES) | F.coalesce("is_title", F.lit(False)))
-    return flagged.withColumn("toks", F.when(off, F.slice("toks", 2, 99)).otherwise(F.col("toks"))).drop("title", "is_title")
+    return flagged.withColumn("toks", F.when(off, F.slice("toks", 2, F.size("toks"))).otherwise(F.col("toks"))).drop("title", "is_title")
+
+
+def usual_order(m: DataFrame) -> DataFrame:
+    """Names of the same tokens in any order take the order that is used most; of equal ones the first."""
+    same = F.array_sort("toks")
+    used = m.groupBy(same.alias("same"), "toks").agg(F.sum("uses").alias("u"))
+    best = used.groupBy("same").agg(F.max_by("toks", F.struct("u", F.transform("toks", lambda t: -F.ascii(t)), "toks")).alias("usual"), F.count("*").alias("orders")).where(F.col("orders") > 1)
+    # Few names come in several orders; the others don't meet.
+    return m.withColumn("same", same).join(best.select("same", "usual"), "same", "left").withColumn("toks", F.coalesce("usual", "toks")).drop("same", "usual")
 
 
 def best_neighbour(stats: DataFrame, near: DataFrame) -> DataFrame:
@@ -171,14 +180,14 @@ def linked_names(priors: DataFrame) -> DataFrame:
     row; extra columns don't matter; an empty table gives an empty result.
     """
     m = without_titles(distinct_mentions(priors)).where(F.size("toks") >= 2)
-    m = materialize(m.select("mention", "uses", "entity", "toks"), "p6-names")
-        # Order of the tokens: each has its share of uses at the end.
+    m = materialize(usual_order(m.select("mention", "uses", "entity", "toks")), "p6-names")
+    # Order of the tokens: each has its share of uses at the end.
     ends = m.select("uses", F.explode(F.array(F.struct(F.get("toks", F.lit(0)).alias("word"), F.lit(0).alias("end")), F.struct(F.element_at("toks", -1).alias("word"), F.lit(1).alias("end")))).alias("x"))
     share = ends.groupBy("x.word").agg((F.sum(F.col("uses") * F.col("x.end")) / F.sum("uses")).alias("share"))
     head, tail = share.toDF("w0", "share0"), share.toDF("w1", "share1")
     ordered = m.join(head, F.get("toks", F.lit(0)) == F.col("w0")).join(tail, F.element_at("toks", -1) == F.col("w1"))
     turn = F.col("share0") - F.col("share1") > 0.3
-    rest = F.concat(F.slice("toks", 2, 99), F.slice("toks", 1, 1))
+    rest = F.concat(F.slice("toks", 2, F.size("toks")), F.slice("toks", 1, 1))
     back = F.concat(F.slice("toks", -1, 1), F.slice("toks", 1, F.size("toks") - 1))
     # "Last First Middle" brings the first token to the end, "Kind Place" the last to the front; of two tokens both are the same.
     ordered = ordered.withColumn("toks", F.when(turn & (F.col("share0") >= 0.5), rest).when(turn, back).otherwise(F.col("toks"))).drop("w0", "w1", "share0", "share1")
