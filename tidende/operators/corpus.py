@@ -107,23 +107,29 @@ def sentence_rows(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.posexplode(text.sentence_array(text.soft_abbreviations(F.col("text")))).alias("sent_no", "sentence")).where(F.trim("sentence") != "")
 
 
-def sentence_cosine(a, b):
-    """Cosine of two word arrays as bags."""
-    counts = lambda x: F.map_from_entries(F.transform(F.array_distinct(x), lambda w: F.struct(w, F.size(F.filter(x, lambda y: y == w)).cast("double"))))
-    ca, cb = counts(a), counts(b)
-    dot = F.aggregate(F.map_keys(ca), F.lit(0.0), lambda s, w: s + F.try_element_at(ca, w) * F.coalesce(F.try_element_at(cb, w), F.lit(0.0)))
-    norm = lambda m: F.sqrt(F.aggregate(F.map_values(m), F.lit(0.0), lambda s, v: s + v * v))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), dot / (norm(ca) * norm(cb))).otherwise(0.0)
+def near_sentences(sentences: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """``doc_id, sent_no, other``, both ways round, of sentences of one document whose words as bags have a cosine above ``threshold``."""
+    words = sentences.select("doc_id", "sent_no", F.explode(text.words(F.col("sentence"))).alias("word")).groupBy("doc_id", "sent_no", "word").agg(F.count("*").cast("double").alias("n"))
+    norms = words.groupBy("doc_id", "sent_no").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    other = words.select("doc_id", "word", F.col("sent_no").alias("other"), F.col("n").alias("m"))
+    dots = words.join(other, ["doc_id", "word"]).where(F.col("sent_no") < F.col("other")).groupBy("doc_id", "sent_no", "other").agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
+    both = dots.join(norms, ["doc_id", "sent_no"]).join(norms.toDF("doc_id", "other", "norm_other"), ["doc_id", "other"])
+    near = both.where(F.col("dot") / (F.col("norm") * F.col("norm_other")) > threshold)
+    return near.select("doc_id", "sent_no", "other").unionByName(near.select("doc_id", F.col("other").alias("sent_no"), F.col("sent_no").alias("other")))
+
+
+def without_beaten(scored: DataFrame, near: DataFrame, group: list[str]) -> DataFrame:
+    """``scored`` without sentences that are near another of the document, and of the group, of higher score, or as high and before it."""
+    rival = scored.select(*group, "doc_id", F.col("sent_no").alias("other"), F.col("score").alias("o_score"))
+    ahead = (F.col("o_score") > F.col("score")) | ((F.col("o_score") == F.col("score")) & (F.col("other") < F.col("sent_no")))
+    met = scored.select(*group, "doc_id", "sent_no", "score").join(near, ["doc_id", "sent_no"]).join(rival, [*group, "doc_id", "other"])
+    return scored.join(met.where(ahead).select(*group, "doc_id", "sent_no").distinct(), [*group, "doc_id", "sent_no"], "left_anti")
 
 
 def distinct_sentences(sentences: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``doc_id, sent_no, sentence, score`` without those whose words another of the document of higher score, or as high and before it,
-    shares by more than ``threshold``; only sentences with a word in common meet."""
-    s = sentences.withColumn("w", text.words(F.col("sentence")))
-    other = s.select("doc_id", F.col("sent_no").alias("o_no"), F.col("score").alias("o_score"), F.col("w").alias("o_w"))
-    ahead = (F.col("o_score") > F.col("score")) | ((F.col("o_score") == F.col("score")) & (F.col("o_no") < F.col("sent_no")))
-    beaten = s.join(other, "doc_id").where(ahead & F.arrays_overlap("w", "o_w") & (sentence_cosine(F.col("w"), F.col("o_w")) > threshold))
-    return s.join(beaten.select("doc_id", "sent_no").distinct(), ["doc_id", "sent_no"], "left_anti").drop("w")
+    shares by more than ``threshold``."""
+    return without_beaten(sentences, near_sentences(sentences, threshold), [])
 
 
 def sample(df: DataFrame, keys: list[str], group: list[str], k: int = 5, seed: int = 10) -> DataFrame:
