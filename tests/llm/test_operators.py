@@ -32,7 +32,7 @@ def test_em_against_a_plain_loop():
 def test_probabilities_choose_the_candidates(spark):
     from pyspark.sql import functions as F
 
-    scored = distinctive.scored_records(spark.read.parquet(SF.replace("0.001", "0.01") + "/doc2terms.parquet"))
+    scored, _ = distinctive.scored_records(spark.read.parquet(SF.replace("0.001", "0.01") + "/doc2terms.parquet"))
     weight = lambda x: -x["tf"] * (F.log((1 + F.col("n_docs")) / (1 + x["df"])) + 1)
     top = F.array_min(F.transform("terms", lambda x: F.struct(weight(x).alias("w"), x["term"].alias("term"))))["term"]
     left = distinctive.candidates()

@@ -18,7 +18,8 @@ def _nfc(terms: pd.Series) -> pd.Series:
     return terms.map(lambda row: None if row is None else [None if t is None else compose("NFC", t) for t in row])
 
 
-nfc_array = F.pandas_udf(_nfc, ArrayType(StringType()))
+#: Called nondeterministic so that the optimizer doesn't run it once more for a filter on its result.
+nfc_array = F.pandas_udf(_nfc, ArrayType(StringType())).asNondeterministic()
 
 
 def trim_blanks(c: Column) -> Column:

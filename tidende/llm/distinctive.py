@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,35 +45,40 @@ def em_probabilities(tf: list[np.ndarray], background: list[np.ndarray], mix: fl
 
 
 def term_frequencies(doc2terms: DataFrame) -> DataFrame:
-    """``doc_id, t`` of each record with a term: its terms with their counts; the groupings reuse the partitioning by ``doc_id``."""
-    each = latest_terms(doc2terms).select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id", "term").agg(F.count("*").cast("int").alias("tf"))
-    return each.groupBy("doc_id").agg(F.collect_list(F.struct("term", "tf")).alias("t"))
+    """``rid, doc_id, terms, tf`` of each record with a term: its different terms and their counts, side by side, counted within the record."""
+
+    @F.pandas_udf("terms array<string>, tf array<int>")
+    def counted(lists: pd.Series) -> pd.DataFrame:
+        counts = [Counter(x) for x in lists]
+        return pd.DataFrame({"terms": [list(c) for c in counts], "tf": [list(c.values()) for c in counts]})
+
+    latest = latest_terms(doc2terms).select("doc_id", counted.asNondeterministic()("terms").alias("c"))
+    return materialize(latest.where(F.size("c.terms") > 0).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "c.terms", "c.tf"), "p1-records")
 
 
-def scored_records(doc2terms: DataFrame, mix: float = 0.5, max_iter: int = 60, tol: float = 1e-6) -> DataFrame:
-    """``doc_id, n_docs, size, terms`` of each record: its occurrences, and its terms as structs ``term, tf, df, background, plm``.
+def scored_records(doc2terms: DataFrame, mix: float = 0.5, max_iter: int = 60, tol: float = 1e-6) -> tuple[DataFrame, DataFrame]:
+    """``rid, n_docs, size, terms`` of each record: its occurrences, and its terms as structs ``term, tf, df, background, plm``; and ``rid, doc_id``.
 
     Between the shuffles a record goes by a number. Hot terms get their background by broadcast and the others by a join in which no
     key is hot.
     """
-    records = materialize(term_frequencies(doc2terms).withColumn("rid", F.monotonically_increasing_id()), "p1-records")
-    tf = records.select("rid", F.explode("t").alias("t")).select("rid", "t.term", "t.tf")
+    records = term_frequencies(doc2terms)
+    tf = records.select("rid", F.explode(F.arrays_zip("terms", "tf")).alias("t")).select("rid", F.col("t.terms").alias("term"), "t.tf")
     df = materialize(tf.groupBy("term").agg(F.count("*").alias("df")), "p1-df")
     # Two scalars.
     n, total = records.count(), df.agg(F.sum("df")).first()[0] or 1
-    bg = df.select("term", "df", (F.col("df") / F.lit(float(total))).alias("background"))
     is_hot = F.col("df") * HOT_SHARE > total
-    hot = F.broadcast(bg.where(is_hot))
-    cold = tf.join(F.broadcast(bg.where(is_hot).select("term")), "term", "left_anti").join(bg.where(~is_hot), "term")
-    joined = tf.join(hot, "term").unionByName(cold)
-    per = joined.groupBy("rid").agg(F.sum("tf").alias("size"), F.collect_list(F.struct("term", "tf", "df", "background")).alias("t"))
+    cold = tf.join(F.broadcast(df.where(is_hot).select("term")), "term", "left_anti").join(df.where(~is_hot), "term")
+    joined = tf.join(F.broadcast(df.where(is_hot)), "term").unionByName(cold)
+    per = joined.groupBy("rid").agg(F.sum("tf").alias("size"), F.collect_list(F.struct("term", "tf", "df")).alias("t"))
 
     @F.pandas_udf("array<double>")
-    def em(counts: pd.Series, back: pd.Series) -> pd.Series:
-        return pd.Series(em_probabilities(list(counts), list(back), mix, max_iter, tol), dtype=object)
+    def em(counts: pd.Series, dfs: pd.Series) -> pd.Series:
+        return pd.Series(em_probabilities(list(counts), [np.asarray(x, dtype=float) / total for x in dfs], mix, max_iter, tol), dtype=object)
 
-    both = F.zip_with("t", em(F.col("t.tf"), F.col("t.background")), lambda t, p: F.struct(t["term"].alias("term"), t["tf"].alias("tf"), t["df"].alias("df"), t["background"].alias("background"), p.alias("plm")))
-    return per.select("rid", "size", both.alias("terms")).join(records.select("rid", "doc_id"), "rid").select("doc_id", F.lit(n).alias("n_docs"), "size", "terms")
+    background = lambda t: (t["df"] / F.lit(float(total))).alias("background")
+    both = F.zip_with("t", em(F.col("t.tf"), F.col("t.df")), lambda t, p: F.struct(t["term"].alias("term"), t["tf"].alias("tf"), t["df"].alias("df"), background(t), p.alias("plm")))
+    return per.select("rid", F.lit(n).alias("n_docs"), "size", both.alias("terms")), records.select("rid", "doc_id")
 
 
 def parsimonious_weights(doc2terms: DataFrame, mix: float = 0.5, max_iter: int = 60, tol: float = 1e-6) -> DataFrame:
@@ -82,7 +89,8 @@ def parsimonious_weights(doc2terms: DataFrame, mix: float = 0.5, max_iter: int =
     A record without terms gives no row; an empty table gives an empty result. Ties keep equal weights. Extra columns are
     ignored.
     """
-    rows = scored_records(doc2terms, mix, max_iter, tol).select("doc_id", "n_docs", F.explode("terms").alias("x"))
+    scored, named = scored_records(doc2terms, mix, max_iter, tol)
+    rows = scored.join(named, "rid").select("doc_id", "n_docs", F.explode("terms").alias("x"))
     return rows.select("doc_id", "x.term", "x.tf", "x.df", "n_docs", "x.background", "x.plm")
 
 
@@ -107,6 +115,8 @@ def most_distinctive(doc2terms: DataFrame) -> DataFrame:
     most = F.log((F.lit(1.0) + F.col("n_docs")) / F.lit(2.0)) + F.lit(1.0)
     weight = lambda x: x["tf"] * (F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + x["df"])) + F.lit(1.0))
     ranked = lambda terms: F.array_min(F.transform(terms, lambda x: F.struct((-weight(x)).alias("w"), x["term"].alias("term"))))
-    best = scored_records(doc2terms).withColumn("best", ranked(candidates()))
+    scored, named = scored_records(doc2terms)
+    best = scored.withColumn("best", ranked(candidates()))
     rest = F.filter("terms", lambda x: ~gained(x) & (x["tf"] * most >= -F.col("best.w")))
-    return best.select("doc_id", F.least("best", F.coalesce(ranked(rest), F.col("best"))).alias("b")).select("doc_id", F.col("b.term").alias("term"))
+    found = best.select("rid", F.least("best", F.coalesce(ranked(rest), F.col("best")))["term"].alias("term"))
+    return found.join(named, "rid").select("doc_id", "term")
