@@ -49,15 +49,22 @@ def run_lengths(terms: list[str]) -> np.ndarray:
     return last[np.searchsorted(last, np.arange(n))] - np.arange(n) + 1
 
 
+def sign(term: str, run: int) -> str:
+    """A term, or a run of it; runs of a term follow each other by length, after the term alone and before any other."""
+    return term if run == 1 else f"{term}{RUN}{run:08x}"
+
+
 def common_prefix(a: list[str], b: list[str]) -> int:
-    """Terms in common from the start, of two suffixes as runs of equal terms."""
+    """Terms in common from the start, of two suffixes as signs."""
     out = 0
     for x, y in zip(a, b):
         if x == y:
-            out += int(x[-8:], 16)
+            out += 1 if RUN not in x else int(x[-8:], 16)
             continue
-        if x[:-8] == y[:-8]:
-            out += min(int(x[-8:], 16), int(y[-8:], 16))
+        term, _, m = x.partition(RUN)
+        other, _, n = y.partition(RUN)
+        if term == other:
+            out += min(int(m or "1", 16), int(n or "1", 16))
         break
     return out
 
@@ -138,15 +145,13 @@ def hot_prefixes(records: DataFrame, total: int) -> list[frozenset[str]]:
     found: list[frozenset[str]] = []
     k = 1
     while k <= DEEPEST // 2:
-        before = list(found)
-
-        def grams(batches: Iterator[pd.DataFrame], k: int = k, before: list[frozenset[str]] = before) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                counts = Counter(SEP.join(t[i : i + k]) for t in map(list, batch["terms"]) for i in range(len(t) - k + 1) if not before or depth_of(t, i, before) == k)
-                yield pd.DataFrame({"gram": list(counts), "n": np.array(list(counts.values()), dtype="int64")})
-
-        each = records.select(F.explode("terms").alias("gram"), F.lit(1).alias("n")) if k == 1 else records.select("terms").mapInPandas(grams, "gram string, n long")
-        hot = frozenset(r.gram for r in each.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") * HOT_SHARE > total).select("gram").collect())
+        grams = F.col("terms")
+        if k > 1:  # only what begins with a hot run of half as many terms can be hot
+            begins = lambda i: F.array_join(F.slice("terms", i, k // 2), SEP).isin(*found[-1])  # noqa: B023, E731
+            places = F.filter(F.sequence(F.lit(1), F.size("terms") - (k - 1)), begins)
+            grams = F.transform(places, lambda i: F.array_join(F.slice("terms", i, k), SEP))  # noqa: B023
+        each = records.where(F.size("terms") >= k).select(F.explode(grams).alias("gram"))
+        hot = frozenset(r.gram for r in each.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") * HOT_SHARE > total).select("gram").collect())
         if not hot:
             break
         found.append(hot)
@@ -190,14 +195,19 @@ def ngram_classes(doc2terms: DataFrame, records: DataFrame | None = None) -> Dat
             for record, copies, terms, repeated in zip(batch["record"], batch["copies"], map(list, batch["terms"]), batch["repeated"], strict=True):
                 n, runs = len(terms), run_lengths(terms).tolist()
                 ends = suffix_ends(n, np.asarray(repeated, dtype=np.int64) if repeated is not None else np.zeros(0, np.int64)).tolist()
+                signs = [sign(t, r) for t, r in zip(terms, runs, strict=True)]
+                plain = max(runs) == 1
                 for at in range(n):
                     k = depth_of(terms, at, hot)
                     if at + k > n:
                         continue
-                    rest, i = [], at + k
-                    while i < ends[at]:
-                        rest.append(f"{terms[i]}{RUN}{runs[i]:08x}")
-                        i += runs[i]
+                    if plain:
+                        rest = signs[at + k : ends[at]]
+                    else:
+                        rest, i = [], at + k
+                        while i < ends[at]:
+                            rest.append(signs[i])
+                            i += runs[i]
                     rows.append((SEP.join(terms[at : at + k]), SEP.join(rest), record, at, n - at, copies, k))
                     if len(rows) >= BATCH:
                         yield pd.DataFrame(rows, columns=names)
@@ -212,7 +222,7 @@ def ngram_classes(doc2terms: DataFrame, records: DataFrame | None = None) -> Dat
             return [(*x, name.split(SEP, 1)[0] if x[2] == 1 else None) for x in intervals]
 
         for batch in batches:
-            for k, (name, rest, record, start, left, copies) in zip(batch["k"], zip(*[batch[c] for c in ("key", "rest", "record", "start", "left", "copies")], strict=True), strict=True):
+            for k, name, rest, record, start, left, copies in zip(*[batch[c].tolist() for c in ("k", "key", "rest", "record", "start", "left", "copies")], strict=True):
                 tokens = rest.split(SEP) if rest else []
                 if name != key:
                     if pass_ is not None:
