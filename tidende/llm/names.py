@@ -180,7 +180,7 @@ def linked_names(priors: DataFrame) -> DataFrame:
     row; extra columns don't matter; an empty table gives an empty result.
     """
     m = without_titles(distinct_mentions(priors)).where(F.size("toks") >= 2)
-    m = materialize(usual_order(m.select("mention", "uses", "entity", "toks")), "p6-names")
+    m = materialize(m.select("mention", "uses", "entity", "toks"), "p6-names")
     # Order of the tokens: each has its share of uses at the end.
     ends = m.select("uses", F.explode(F.array(F.struct(F.get("toks", F.lit(0)).alias("word"), F.lit(0).alias("end")), F.struct(F.element_at("toks", -1).alias("word"), F.lit(1).alias("end")))).alias("x"))
     share = ends.groupBy("x.word").agg((F.sum(F.col("uses") * F.col("x.end")) / F.sum("uses")).alias("share"))
@@ -191,7 +191,8 @@ def linked_names(priors: DataFrame) -> DataFrame:
     back = F.concat(F.slice("toks", -1, 1), F.slice("toks", 1, F.size("toks") - 1))
     # "Last First Middle" brings the first token to the end, "Kind Place" the last to the front; of two tokens both are the same.
     ordered = ordered.withColumn("toks", F.when(turn & (F.col("share0") >= 0.5), rest).when(turn, back).otherwise(F.col("toks"))).drop("w0", "w1", "share0", "share1")
-    ordered = materialize(ordered, "p6-ordered")
+    # What the ends don't say, other orders of the same tokens do.
+    ordered = materialize(usual_order(materialize(ordered, "p6-turned")), "p6-ordered")
 
     words = ordered.select("uses", F.explode("toks").alias("word")).groupBy("word").agg(F.sum("uses").alias("uses"))
     spelled = F.col("word")

@@ -196,9 +196,9 @@ def ngram_classes(doc2terms: DataFrame, records: DataFrame | None = None) -> Dat
                 n, runs = len(terms), run_lengths(terms).tolist()
                 ends = suffix_ends(n, np.asarray(repeated, dtype=np.int64) if repeated is not None else np.zeros(0, np.int64)).tolist()
                 signs = [sign(t, r) for t, r in zip(terms, runs, strict=True)]
-                plain = max(runs) == 1
+                plain, first = max(runs) == 1, hot[0] if hot else frozenset()
                 for at in range(n):
-                    k = depth_of(terms, at, hot)
+                    k = depth_of(terms, at, hot) if terms[at] in first else 1
                     if at + k > n:
                         continue
                     if plain:
@@ -251,7 +251,7 @@ def ngram_classes(doc2terms: DataFrame, records: DataFrame | None = None) -> Dat
             for record, copies, terms in zip(batch["record"], batch["copies"], map(list, batch["terms"]), strict=True):
                 counts: Counter = Counter()
                 places: dict[str, tuple[int, int]] = {}
-                for at in range(len(terms)):
+                for at in [i for i, t in enumerate(terms) if t in hot[0]]:
                     for n in range(1, min(depth_of(terms, at, hot), len(terms) - at + 1)):
                         gram = SEP.join(terms[at : at + n])
                         counts[gram] += 1
