@@ -124,7 +124,7 @@ def _clusters(spark, sf):
     terms = materialize(_entity_terms(spark, sf), "entity-terms")
     edges = community.cooccurrence(terms, share=0.0)
     sizes = terms.groupBy("slice").agg(F.countDistinct("doc_id").alias("n_docs"))
-    return community.cluster_ids(community.communities(edges, sizes))
+    return community.cluster_ids(materialize(community.communities(edges, sizes), "members"))
 
 
 @P.query()
