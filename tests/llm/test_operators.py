@@ -385,6 +385,7 @@ def test_models_learn_from_every_labelled_text(spark):
         i = models.grams[4].find(language.gram_keys(language.codes(w), 5))
         assert (i >= 0).all(), (k, w)
     assert "kl" in models.short
+    assert language.form_counts(["رغم الطقس. المستشفى f.eks. her"]) == {"رغم": [0, 0, 0, 1], "f.eks": [1, 0, 0, 0]}
     assert [x[1] for x in language.judge(models, common["da"] * 2)] == ["da"]
 
 
