@@ -10,10 +10,24 @@ def article_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def monthly_counts(articles: DataFrame, time: str = "loaded_at", late: str = "40 days") -> DataFrame:
-    """``slice_start, n``: distinct deliveries by calendar month; repeats of a ``doc_id`` within the watermark count once."""
-    kept = articles.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark(["doc_id"])
-    return kept.groupBy(F.trunc(time, "month").alias("slice_start")).agg(F.count("*").alias("n"))
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One table of a data directory as a stream, whether it is stored as one file or as a folder of files."""
+    path = f"{sf_dir}/{name}.parquet"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    status = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    # A stream reads folders; a single file is picked out of the one that it is in.
+    return reader.parquet(path) if status.isDirectory() else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def first_loads(articles: DataFrame, key: str = "doc_id", time: str = "loaded_at") -> DataFrame:
+    """``key, first``: when each delivery first came, in whatever order its repeats arrive; without a watermark, so none is too late to count."""
+    return articles.where(F.col(time).isNotNull()).groupBy(key).agg(F.min(time).alias("first"))
+
+
+def monthly_counts(first: DataFrame) -> DataFrame:
+    """``slice_start, n``: deliveries by the calendar month that they first came in."""
+    return first.groupBy(F.trunc(F.col("first").cast("timestamp"), "month").alias("slice_start")).agg(F.count("*").alias("n"))
 
 
 def rolling_values(events: DataFrame, size: str = "1 hour", slide: str = "30 minutes", late: str = "1 hour") -> DataFrame:
