@@ -16,3 +16,44 @@ def test_stream_months_reads_a_folder_whole_and_late_repeats(spark, tmp_path):
     assert sorted((r.slice_start.isoformat(), r.n) for r in registry.QUERIES["stream_months"](spark, str(tmp_path / "a")).collect()) == [("1999-01-01", 1), ("2018-02-01", 3)]
     spark.createDataFrame([], FILES).write.parquet(str(tmp_path / "b" / "example_documents.parquet"))
     assert registry.QUERIES["stream_months"](spark, str(tmp_path / "b")).collect() == []
+
+
+def test_alike_blocks_give_all_pairs_once(monkeypatch):
+    import numpy as np
+
+    from tidende.operators import alike
+
+    monkeypatch.setattr(alike, "CELLS", 90)
+    monkeypatch.setattr(alike, "WIDTH", 3)
+    rng = np.random.default_rng(5)
+    full = rng.random((40, 60)) * (rng.random((40, 60)) < 0.2 * rng.random(60)) + np.eye(40, 60)
+    full /= np.linalg.norm(full, axis=1)[:, None]
+
+    def rows(m):
+        of, term = np.nonzero(m)
+        return np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(m)))]), term * 7 - 100, m[of, term]
+
+    block = alike.Block(rows(full[:25]), 0.3)
+    got = {(int(a), int(b)): x for p in block.own() for a, b, x in zip(*p, strict=True)} | {(int(b), int(a) + 25): x for p in block.others(rows(full[25:])) for a, b, x in zip(*p, strict=True)}
+    cos = full @ full.T
+    want = {(i, j): cos[i, j] for i in range(25) for j in range(i + 1, 40) if cos[i, j] > 0.3}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want) and len(want) > 20
+
+
+def test_cosine_pairs_shuffle_vectors_not_pairs(spark, monkeypatch):
+    import os
+
+    import pytest
+
+    import compare
+    from tidende.operators import alike
+    from tidende.plans import maps
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("test data absent")
+    monkeypatch.setattr(alike, "STRIPE", 20)
+    assert compare.compare(spark, sf, "cosine_pairs").startswith("ok")
+    plan = maps.QUERIES["cosine_pairs"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    # No join of candidates with vectors; each vector goes to its block and those around it.
+    assert "SortMergeJoin" not in plan and "MapInArrow" in plan

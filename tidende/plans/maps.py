@@ -74,9 +74,9 @@ ends AS (SELECT a AS doc_id FROM pairs UNION SELECT b FROM pairs)"""
 
 
 def _pairs(spark, sf):
-    a = materialize(articles(spark, sf), "articles")
-    sliced = corpus.slices(a)
-    return corpus.similar_pairs(representation.tfidf(a, k=None), sliced, 0.3), sliced
+    vectors = materialize(corpus.term_vectors(articles(spark, sf)), "vectors")
+    sliced = corpus.slices(vectors)
+    return corpus.similar_pairs(vectors, sliced, 0.3), sliced
 
 
 @P.query(f"{_COS} SELECT a, b, round(cosine, 6) AS cosine FROM pairs")
