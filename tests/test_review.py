@@ -57,3 +57,22 @@ def test_cosine_pairs_shuffle_vectors_not_pairs(spark, monkeypatch):
     plan = maps.QUERIES["cosine_pairs"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     # No join of candidates with vectors; each vector goes to its block and those around it.
     assert "SortMergeJoin" not in plan and "MapInArrow" in plan
+
+
+def test_foreign_keyphrases_are_united_where_their_entity_is(spark, monkeypatch):
+    import math
+
+    from tidende.operators import links
+
+    inlink = [(f"e{i}", f"p{j}") for i in range(30) for j in range(20) if (i * j) % 7 == 1] + [("e0", "none")]
+    anchors = [(f"p{j}", f"k{(j * m) % 23}") for j in range(20) for m in range(9)] * 2 + [("other", "k0")]
+    want = {(e, k) for e, p in inlink for q, k in anchors if p == q}
+    frames = spark.createDataFrame(inlink, "entity string, source string"), spark.createDataFrame(anchors, "entity string, keyphrase string")
+    # Several blocks.
+    monkeypatch.setattr(links, "math", type("M", (), {"sqrt": lambda n: 90 * 4 + 0 * math.sqrt(n)}))
+    df = links.foreign_keyphrases(*frames)
+    got = [tuple(r) for r in df.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    # The products of pages and entities are neither joined nor shuffled.
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    assert links.foreign_keyphrases(frames[0].limit(0), frames[1]).count() == 0 and links.foreign_keyphrases(frames[0], frames[1].limit(0)).count() == 0

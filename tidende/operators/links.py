@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import math
+import tempfile
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidende.functions import text
+from tidende.io import materialize
 
 #: Maintenance categories that say nothing about a page (fixed values).
 STOP_CATEGORIES = [
@@ -91,6 +98,66 @@ def possibilities(mentions: DataFrame, pages: DataFrame) -> DataFrame:
     return mentions.select("mention").distinct().join(anchors, F.lower(F.trim("mention")) == F.col("anchor")).select("mention", "target").distinct()
 
 
+def unions(batches: Iterator[pa.RecordBatch], most: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """``entity, keyphrase``, each once, of rows ``kind, name, values``: first the pages with their keyphrases, then the entities with their pages.
+
+    The pages' keyphrases lie as numbers in a local file that is mapped into memory.
+    """
+    page: dict[str, int] = {}
+    number: dict[str, int] = {}
+    sizes: list[np.ndarray] = []
+    names: list[str] = []
+    hits: list[np.ndarray] = []
+    members = offsets = words = marked = None
+
+    def out() -> pa.RecordBatch:
+        entity = pa.array(names).take(pa.array(np.repeat(np.arange(len(hits)), [len(x) for x in hits])))
+        return pa.RecordBatch.from_arrays([entity, words.take(pa.array(np.concatenate(hits)))], ["entity", "keyphrase"])
+
+    with tempfile.TemporaryFile() as file:
+        for batch in batches:
+            kinds = batch.column("kind").to_numpy()
+            cut = int(np.searchsorted(kinds, 1))
+            if cut:
+                b = batch.slice(0, cut)
+                flat = b.column("values").flatten().dictionary_encode()
+                codes = np.array([number.setdefault(k, len(number)) for k in flat.dictionary.to_pylist()], np.int32)
+                codes[flat.indices.to_numpy()].tofile(file)
+                sizes.append(np.diff(b.column("values").offsets.to_numpy()))
+                for name in b.column("name").to_pylist():
+                    page[name] = len(page)
+            if cut == len(batch) or not page:
+                continue
+            if members is None:
+                file.flush()
+                offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).tolist()
+                members = np.memmap(file, np.int32, "r").view(np.ndarray) if offsets[-1] else np.zeros(0, np.int32)
+                words, marked = pa.array(list(number), pa.string()), np.zeros(len(number), bool)
+            b = batch.slice(cut)
+            for name, sources in zip(b.column("name").to_pylist(), b.column("values").to_pylist(), strict=True):
+                for k in (page[s] for s in sources if s in page):
+                    marked[members[offsets[k] : offsets[k + 1]]] = True
+                hit = np.flatnonzero(marked)
+                marked[hit] = False
+                names.append(name)
+                hits.append(hit)
+                if sum(map(len, hits[-100:])) >= most or len(hits) == 100:
+                    yield out()
+                    names, hits = [], []
+        if hits:
+            yield out()
+
+
 def foreign_keyphrases(inlink: DataFrame, anchors: DataFrame) -> DataFrame:
-    """``entity, keyphrase``: anchor texts of the entities that link to an entity; ``inlink`` is ``entity, source``."""
-    return inlink.join(anchors.select(F.col("entity").alias("source"), "keyphrase"), "source").select("entity", "keyphrase").distinct()
+    """``entity, keyphrase``: anchor texts of the entities that link to an entity; ``inlink`` is ``entity, source``.
+
+    Every keyphrase of a page meets every entity that it links to, far more than there are different ones. So neither is shuffled: the
+    entities are cut into blocks, and each gets all pages with their keyphrases. Blocks are as many as the root of the links, so
+    that copies of the pages and the links of a block grow alike.
+    """
+    pages = anchors.groupBy(F.col("entity").alias("name")).agg(F.collect_set("keyphrase").alias("values"))
+    linked = materialize(inlink.groupBy(F.col("entity").alias("name")).agg(F.collect_set("source").alias("values")), "inlinks")
+    blocks = max(1, round(math.sqrt(linked.agg(F.sum(F.size("values"))).first()[0] or 0) / 90))
+    sent = pages.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("kind"), "name", "values")
+    rows = sent.unionByName(linked.select(F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int").alias("block"), F.lit(1).alias("kind"), "name", "values"))
+    return rows.repartitionById(blocks, "block").sortWithinPartitions("kind").select("kind", "name", "values").mapInArrow(unions, "entity string, keyphrase string")
