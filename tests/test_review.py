@@ -76,3 +76,41 @@ def test_foreign_keyphrases_are_united_where_their_entity_is(spark, monkeypatch)
     # The products of pages and entities are neither joined nor shuffled.
     assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
     assert links.foreign_keyphrases(frames[0].limit(0), frames[1]).count() == 0 and links.foreign_keyphrases(frames[0], frames[1].limit(0)).count() == 0
+
+
+def test_large_graphs_are_solved_as_small_ones_are():
+    import numpy as np
+
+    from tidende.operators import community
+
+    for n in (200, 2400):
+        # Pairs of names that occur with each other only.
+        a = np.arange(0, n, 2)
+        ends = np.concatenate([a, a + 1]), np.concatenate([a + 1, a])
+        given = community.initial([f"navn {i}" for i in range(n)], 6)
+        kept = given.copy()
+        w, seen = community.factorize(ends, given)
+        assert len(seen) > 20 and seen[-1] < 0.1 * seen[0] and (given == kept).all()
+        again, more = community.factorize(ends, given, reuse=True)
+        assert more == seen and (again == w).all()
+
+
+def test_the_objective_gathers_no_matrix_of_edges():
+    import tracemalloc
+
+    import numpy as np
+
+    from tidende.operators import community
+
+    rng = np.random.default_rng(2)
+    w = rng.random((400, 300))
+    full = np.triu(rng.random((400, 400)) < 0.3, 1)
+    full |= full.T
+    tracemalloc.start()
+    got = community.objective(full.astype(float), w)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    d = w @ w.T
+    off = ~full & ~np.eye(400, dtype=bool)
+    assert abs(got - float(d[off].sum() - np.log(1 - np.exp(-d[full])).sum())) < 1e-6 * abs(got)
+    assert peak < 50e6  # of 230 MB that the weights at the ends of 48,000 directed edges take
