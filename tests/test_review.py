@@ -114,3 +114,21 @@ def test_the_objective_gathers_no_matrix_of_edges():
     off = ~full & ~np.eye(400, dtype=bool)
     assert abs(got - float(d[off].sum() - np.log(1 - np.exp(-d[full])).sum())) < 1e-6 * abs(got)
     assert peak < 50e6  # of 230 MB that the weights at the ends of 48,000 directed edges take
+
+
+def test_summaries_bring_clusters_together_once(spark):
+    from tidende.operators import summary
+
+    words = "bo vimmel ror i havby med seks sejlere fra klubben paa fjorden"
+    said = [("d1", 0, "En bro. "), ("d1", 1, words), ("d1", 2, words + " nu"), ("d2", 0, words.upper()), ("d2", 1, "- en bro!"), ("d2", 2, "En bro")]
+    sentences = spark.createDataFrame(said, "doc_id string, sent_no int, sentence string")
+    articles = spark.createDataFrame([("d1", "2018-01-01"), ("d2", "2018-01-03")], "doc_id string, day string").selectExpr("doc_id", "date(day) AS pub_date")
+    scores = spark.createDataFrame([(1, "d1", 0, 2.0), (1, "d1", 1, 4.0), (1, "d1", 2, 5.0), (1, "d2", 0, 3.0), (1, "d2", 2, 2.0), (2, "d1", 1, 4.0), (2, "d1", 2, 4.0), (3, "d1", 0, 0.5)], "cluster_id int, doc_id string, sent_no int, score double")
+    df = summary.summaries(scores, sentences, articles, total=3.0)
+    got = sorted((r.cluster_id, r.rank, round(r.score, 6), r.doc_id, r.sentence, str(r.pub_date)) for r in df.collect())
+    decayed = [(1, 1, 5.0, "d1", words + " nu", "2018-01-01"), (1, 2, round(3 * 0.95**2, 6), "d2", words.upper(), "2018-01-03"), (1, 3, 2.0, "d1", "En bro. ", "2018-01-01")]
+    assert got == [*decayed, (2, 1, 4.0, "d1", words, "2018-01-01")]
+    # The scores are shuffled to their sentence and to their cluster, once each, and without the text.
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    initial = plan[plan.index("Initial Plan") :] if "Initial Plan" in plan else plan
+    assert initial.count("hashpartitioning(cluster_id") == 1
